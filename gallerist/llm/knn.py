@@ -14,6 +14,8 @@ query in c dimensions by a squared gap g2 is visited only while
 
 where r2 is the distance of the query's k-th neighbour so far (or the range
 limit).  ``miss`` is the accuracy parameter.
+A pair missed from one side is mostly found from the other, so both directions
+of every pair compete for the places.
 
 Scale: the split planes are fitted on a bounded sample of projections, every
 row is indexed.  The index is one table in shared storage, partitioned by
@@ -31,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gallerist.llm.vectors import DIM, half_cosine, raw_matrix, unit_rows, valid_vectors
@@ -40,10 +42,12 @@ from gallerist.storage import materialize, new_folder
 #: Rows of projections, at most, on which the planes are fitted.
 FIT_ROWS = 65_536
 #: Rows that a leaf should hold; levels of the tree at most (the planes are
-#: broadcast: 2^15 doubles at most).
-LEAF_ROWS, MAX_DEPTH = 800, 15
+#: broadcast: 2^16 doubles at most).
+LEAF_ROWS, MAX_DEPTH = 128, 16
+#: Rows of a block of leaves, about; queries that a task takes at once.
+BLOCK_ROWS, PIECE_ROWS = 6_400, 16_384
 #: Bytes of index blocks that a worker keeps.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 112 << 20
 SEED = 20_240_601
 SLACK = 2e-6
 
@@ -95,12 +99,18 @@ def leaf_of(projected: np.ndarray, planes: list[np.ndarray]) -> np.ndarray:
     return leaf
 
 
-def gaps(projected: np.ndarray, planes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Squared gap and number of separated dimensions, for each row and leaf."""
-    g2, c = np.zeros((len(projected), 1), np.float32), np.zeros((len(projected), 1), np.int8)
-    for level, cut in enumerate(planes):
-        off = (projected[:, level][:, None] - cut[None, :]).astype(np.float32)
-        both_g, both_c = np.empty((len(projected), 2 * len(cut)), np.float32), np.empty((len(projected), 2 * len(cut)), np.int8)
+def gaps(projected: np.ndarray, planes: list[np.ndarray], start=None, node: int = 0, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Squared gap and number of separated dimensions, for each row and leaf.
+
+    With ``start``, the gaps and numbers of one node on ``level``, only the
+    leaves below that node are followed.
+    """
+    n = len(projected)
+    g2, c = start if start is not None else (np.zeros((n, 1), np.float32), np.zeros((n, 1), np.int8))
+    for depth, cut in enumerate(planes[level:], level):
+        width = 1 << (depth - level)
+        off = (projected[:, depth][:, None] - cut[None, node * width : (node + 1) * width]).astype(np.float32)
+        both_g, both_c = np.empty((n, 2 * width), np.float32), np.empty((n, 2 * width), np.int8)
         both_g[:, 0::2] = g2 + np.square(np.maximum(off, 0))
         both_g[:, 1::2] = g2 + np.square(np.minimum(off, 0))
         both_c[:, 0::2] = c + (off > 0)
@@ -124,19 +134,19 @@ class _Blocks:
                 self.files.setdefault(block, []).append(info.path)
 
     def get(self, block: int):
-        """ids, leaves, unit vectors (float32), raw vectors; by leaf, then id."""
+        """ids, leaves, vectors, and one over their norms; by leaf, then id."""
         if block not in self.cache:
             import pyarrow.parquet as pq
 
             while self.held > CACHE_BYTES and self.cache:
-                self.held -= self.cache.pop(next(iter(self.cache)))[3].nbytes * 2
+                self.held -= self.cache.pop(next(iter(self.cache)))[2].nbytes
             self.cache[block] = self._read(pq, self.files.get(block, []))
-            self.held += self.cache[block][3].nbytes * 2
+            self.held += self.cache[block][2].nbytes
         return self.cache[block]
 
     def _read(self, pq, paths: list[str]):
         if not paths:
-            return np.zeros(0, object), np.zeros(0, np.int64), np.zeros((0, self.dim), np.float32), np.zeros((0, self.dim), np.float32)
+            return np.zeros(0, object), np.zeros(0, np.int64), np.zeros((0, self.dim), np.float32), np.zeros(0, np.float32)
         got = pa.concat_tables([pq.ParquetFile(self.fs.open_input_file(p)).read(["id", "leaf", "vector"], use_threads=False) for p in sorted(paths)])
         _, raw = raw_matrix(got.column("vector"), self.dim)
         ids, leaves = got.column("id").to_numpy(zero_copy_only=False), got.column("leaf").to_numpy()
@@ -145,7 +155,8 @@ class _Blocks:
         first = np.ones(len(ids), bool)
         first[1:] = ids[1:] != ids[:-1]  # a repeated row has the same vector, so the same leaf
         ids, leaves, raw = ids[first], leaves[first], raw[first]
-        return ids, leaves, unit_rows(raw).astype(np.float32), raw
+        wide = raw.astype(np.float64)
+        return ids, leaves, raw, (1.0 / np.sqrt((wide * wide).sum(axis=1))).astype(np.float32)
 
 
 _OPEN: dict[str, _Blocks] = {}
@@ -154,66 +165,73 @@ _OPEN: dict[str, _Blocks] = {}
 def _search(path: str, dim: int, planes: list[np.ndarray], shift: int, k: int, limit: float, miss: float):
     """mapInArrow body: queries of the blocks named in ``block``."""
     depth = len(planes)
+    top = depth - shift
     turn = projection(dim, depth)
-    stop = stop_ratios(depth, miss)
+    stop = stop_ratios(depth, miss).astype(np.float32)
+    reach = np.maximum.accumulate(stop[::-1])[::-1]  # the best ratio that a node's leaves can have
     low = 1.0 - 2.0 * limit - SLACK  # cosine at the range limit
 
-    def piece(store: _Blocks, block: int, begin: int, end: int, leaf: int, own: int):
-        ids, _, units, raw = store.get(block)
-        ids, units, raw = ids[begin:end], units[begin:end], raw[begin:end]
-        exact = unit_rows(raw)
-        g2, c = gaps(exact @ turn, planes) if depth else (np.zeros((len(ids), 1), np.float32), np.zeros((len(ids), 1), np.int8))
+    def piece(store: _Blocks, block: int, begin: int, end: int):
+        ids, leaves, raw, _ = store.get(block)
+        ids, leaves, exact = ids[begin:end], leaves[begin:end], unit_rows(raw[begin:end])
+        units, n = exact.astype(np.float32), end - begin
+        y = exact @ turn
+        g2, c = gaps(y, planes[:top])
         with np.errstate(divide="ignore", invalid="ignore"):
-            need = np.where(g2 > 0, g2 / stop[c].astype(np.float32), 0).astype(np.float32)  # visited while below r2
-        del g2, c
-        need[:, leaf] = -1
-        best = np.full((len(ids), k), low, np.float32)  # cosines of the k nearest so far
+            entry = np.where(g2 > 0, g2 / reach[c], 0).min(axis=0)
+        best = np.full((n, k), low, np.float32)  # cosines of the k nearest so far
         kth = best[:, 0].copy()
-        bounds: dict[int, np.ndarray] = {}
-        cols: list = []
-        for target in np.argsort(need.min(axis=0), kind="stable"):
-            r2 = 2.0 - 2.0 * kth
-            ask = np.flatnonzero(need[:, target] <= r2)
-            if not len(ask):
-                if need[:, target].min() > r2.max():
-                    break
-                continue
-            at = int(target) >> shift
-            t_ids, t_leaves, t_units, t_raw = store.get(at)
-            if at not in bounds:
-                bounds[at] = np.searchsorted(t_leaves, np.arange(at << shift, ((at + 1) << shift) + 1))
-            a, b = bounds[at][int(target) - (at << shift)], bounds[at][int(target) - (at << shift) + 1]
-            if a == b:
+        r2 = 2.0 - 2.0 * kth
+        found, held = [], 0
+        for at in [block, *(int(b) for b in np.argsort(entry, kind="stable") if b != block)]:
+            if at != block and entry[at] > r2.max():
+                break
+            lg, lc = gaps(y, planes, (g2[:, at : at + 1], c[:, at : at + 1]), at, top)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.ascontiguousarray(np.where(lg > 0, lg / stop[lc], 0).T)
+            if at == block:
+                need[leaves - (block << shift), np.arange(n)] = 0
+            if not (need <= r2).any():
                 continue
-            sims = units[ask] @ t_units[a:b].T
-            if target == leaf:
-                sims[np.arange(len(ask)), ask + own] = -2.0  # not itself
-            hit = sims >= (kth[ask] - SLACK)[:, None]
-            at_hit = np.flatnonzero(hit)
-            if not len(at_hit):
-                continue
-            rows = np.unique(at_hit // (b - a))
-            top = sims[rows] if b - a <= k else np.partition(sims[rows], b - a - k, axis=1)[:, b - a - k :]
-            merged = np.concatenate([best[ask[rows]], top], axis=1)
-            best[ask[rows]] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-            kth[ask[rows]] = best[ask[rows]].min(axis=1)
-            r, col = at_hit // (b - a), at_hit % (b - a)
-            near = sims[r, col] >= kth[ask[r]] - SLACK
-            r, col = r[near], col[near]
-            cols.append((ask[r], t_ids[a:b][col], t_raw[a:b][col], sims[r, col]))
-        if not cols:
+            t_ids, t_leaves, t_raw, t_inv = store.get(at)
+            bounds = np.searchsorted(t_leaves, np.arange(at << shift, ((at + 1) << shift) + 1))
+            for leaf in np.argsort(need.min(axis=1), kind="stable"):
+                a, b = bounds[leaf], bounds[leaf + 1]
+                if a == b:
+                    continue
+                ask = np.flatnonzero(need[leaf] <= r2)
+                if not len(ask):
+                    continue
+                sims = units[ask] @ t_raw[a:b].T
+                sims *= t_inv[a:b]
+                if at == block:  # not itself
+                    own = begin + ask
+                    inside = np.flatnonzero((own >= a) & (own < b))
+                    sims[inside, own[inside] - a] = -2.0
+                rows = np.flatnonzero(sims.max(axis=1) >= kth[ask] - SLACK)
+                if not len(rows):
+                    continue
+                sims, who = sims[rows], ask[rows]
+                tops = sims if b - a <= k else np.partition(sims, b - a - k, axis=1)[:, b - a - k :]
+                merged = np.concatenate([best[who], tops], axis=1)
+                best[who] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+                kth[who] = best[who].min(axis=1)
+                r2[who] = 2.0 - 2.0 * kth[who]
+                r, col = np.nonzero(sims >= kth[who][:, None] - SLACK)
+                found.append((who[r], t_ids[a:b][col], t_raw[a:b][col], sims[r, col]))
+                held += len(r)
+            if held > 400_000:
+                found, held = _still_near(found, kth)
+        if not found:
             return None
-        q = np.concatenate([x[0] for x in cols])
-        near = np.concatenate([x[3] for x in cols]) >= kth[q] - SLACK
-        q, other, their = q[near], np.concatenate([x[1] for x in cols])[near], np.concatenate([x[2] for x in cols])[near]
+        q, other, their, _ = _still_near(found, kth)[0][0]
         d = half_cosine(exact[q], unit_rows(their))
         inside = d <= limit
         q, other, d = q[inside], other[inside], d[inside]
         order = np.lexsort((other, d, q))
         q, other, d = q[order], other[order], d[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = place < k
-        return ids[q[keep]], other[keep], d[keep], place[keep] + 1
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return ids[q[keep]], other[keep], d[keep]
 
     def run(batches):
         for batch in batches:
@@ -222,18 +240,22 @@ def _search(path: str, dim: int, planes: list[np.ndarray], shift: int, k: int, l
                     _OPEN.clear()
                     _OPEN[path] = _Blocks(path, dim)
                 store = _OPEN[path]
-                _, leaves, _, _ = store.get(block)
-                for leaf in np.unique(leaves):
-                    begin, end = np.searchsorted(leaves, [leaf, leaf + 1])
-                    for step in range(begin, end, 2048):  # a leaf of any size, in bounded pieces
-                        out = piece(store, block, step, min(step + 2048, end), int(leaf), step - begin)
-                        if out is not None:
-                            a, b, d, p = out
-                            yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(d, pa.float64()), pa.array(p, pa.int32())], ["id", "neighbour", "distance", "place"])
+                size = len(store.get(block)[0])
+                for step in range(0, size, PIECE_ROWS):
+                    out = piece(store, block, step, min(step + PIECE_ROWS, size))
+                    if out is not None:
+                        yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["id", "neighbour", "distance"])
 
     return run
 
 
+def _still_near(found: list, kth: np.ndarray) -> tuple[list, int]:
+    """The candidates that the present k-th distances leave open, as one piece."""
+    q, sims = np.concatenate([x[0] for x in found]), np.concatenate([x[3] for x in found])
+    keep = sims >= kth[q] - SLACK
+    return [(q[keep], np.concatenate([x[1] for x in found])[keep], np.concatenate([x[2] for x in found])[keep], sims[keep])], int(keep.sum())
+
+
 def _place(dim: int, planes: list[np.ndarray], shift: int):
     turn = projection(dim, len(planes))
 
@@ -289,15 +311,19 @@ def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.
         y = some.mapInArrow(_project(dim, depth), "y array<float>").limit(2 * FIT_ROWS).toPandas()["y"]
         planes = fit_planes(np.stack(y.to_list()).astype(np.float64), depth) if len(y) else []
         depth = len(planes)
-    shift = max(0, depth - max(4, depth - 3))
+    shift = max(0, depth - max(4, math.ceil(math.log2(max(rows, 1) / BLOCK_ROWS)))) if depth else 0
     path = new_folder(spark, "vectors")
     blocks = 1 << (depth - shift)
     placed = clean.mapInArrow(_place(dim, planes, shift), "id string, vector binary, leaf int, block int")
     parts = min(blocks, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     placed.repartition(parts, "block").write.partitionBy("block").parquet(path)
     tasks = spark.range(0, blocks, 1, blocks).select(F.col("id").cast("int").alias("block"))
-    found = tasks.mapInArrow(_search(path, dim, planes, shift, k, limit, miss), "id string, neighbour string, distance double, place int")
-    return found if answered is None else found.unionByName(answered)
+    found = tasks.mapInArrow(_search(path, dim, planes, shift, k, limit, miss), "id string, neighbour string, distance double")
+    # a pair that the test of one side missed is mostly found from the other
+    both = found.unionByName(found.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "distance")).distinct()
+    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
+    ranked = both.withColumn("place", place).filter(F.col("place") <= k)
+    return ranked if answered is None else ranked.unionByName(answered)
 
 
 def _reduce_copies(clean: DataFrame, hashes: DataFrame, groups: DataFrame, k: int, limit: float, dim: int):
@@ -308,8 +334,6 @@ def _reduce_copies(clean: DataFrame, hashes: DataFrame, groups: DataFrame, k: in
     the distance of the vector from itself.  Groups are told by 96 bits of
     hash.
     """
-    from pyspark.sql import Window
-
     large = materialize(groups.filter(F.col("n") > k + 1).select("h1", "h2"), "copies")
     members = hashes.join(large, ["h1", "h2"], "left_semi").distinct()
     ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("r") <= k + 1)

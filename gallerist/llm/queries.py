@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gallerist.storage import table
@@ -28,5 +29,51 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.join(owner, "neighbour").select(F.col("id").alias("sample_id"), "neighbour", "person_id", "distance", "place")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from gallerist.llm.overlap import cross_split_overlaps
+
+    pairs = cross_split_overlaps(table(spark, folder, "manifest"))
+    return pairs.select(F.least("train_entry", "other_entry").alias("entry_a"), F.greatest("train_entry", "other_entry").alias("entry_b")).distinct()
+
+
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from gallerist.llm.overlap import cross_split_overlaps, overlap_counts
+
+    return overlap_counts(cross_split_overlaps(table(spark, folder, "manifest")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from gallerist.llm.clusters import clusters
+
+    return clusters(table(spark, folder, "samples"), limit=ALIKE).select(F.col("id").alias("sample_id"), "cluster_id").distinct()
+
+
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, medoid and five most typical members of each cluster part."""
+    from gallerist.llm.clusters import clusters
+
+    members = clusters(table(spark, folder, "samples"), limit=ALIKE)
+    typical = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.col("id").alias("id"))
+    rank = F.row_number().over(Window.partitionBy("part_id").orderBy(typical))
+    top = members.withColumn("r", rank).filter("r <= 5")
+    return top.groupBy("part_id").agg(
+        F.min("cluster_id").alias("cluster_id"), F.max("part_size").alias("size"), F.max("size").alias("cluster_size"),
+        F.min(F.when(F.col("medoid"), F.col("id"))).alias("medoid"), F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("typical"),
+    )
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from gallerist.llm.related import related_groups
+
+    groups = related_groups(table(spark, folder, "manifest"), table(spark, folder, "pair_manifest"))
+    return groups.filter("size > 1").select("record_id", "group_id")
+
+
+def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
+    from gallerist.llm.related import related_splits
+
+    return related_splits(table(spark, folder, "manifest"), table(spark, folder, "pair_manifest"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
