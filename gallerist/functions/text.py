@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Spellings that say "nothing here" in name, session and
 #: condition fields, after folding.
@@ -18,7 +19,7 @@ def _fold(text: str) -> str:
     return "".join(c for c in out if not c.isspace() and unicodedata.category(c)[0] not in "CZ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_udf(col: pd.Series) -> pd.Series:
     seen: dict = {}
     return col.map(lambda v: None if v is None else seen[v] if v in seen else seen.setdefault(v, _fold(v)))
