@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gallerist.llm.vectors import DIM, half_cosine, raw_matrix, unit_rows, valid_vectors
+from gallerist.llm.vectors import DIM, half_cosine, raw_matrix, unit_rows, valid_vectors, vector_facts
 from gallerist.storage import materialize, new_folder
 
 #: Rows of projections, at most, on which the planes are fitted.
@@ -283,7 +283,7 @@ def _project(dim: int, depth: int):
     return run
 
 
-def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.01, dim: int = DIM, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.02, dim: int = DIM, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The ``k`` most similar vectors of every valid vector within ``limit``.
 
     Returns ``(id, neighbour, distance, place)``: half cosine distances in
@@ -294,20 +294,16 @@ def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.
     columns are not looked at, whatever their names.
     """
     spark: SparkSession = samples.sparkSession
-    clean = valid_vectors(samples, dim, id_col, vector_col)
-    # groups of many identical vectors: only the k + 1 smallest ids can be anyone's neighbours
-    hashes = clean.select("id", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
-    groups = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    totals = groups.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
-    rows, most = int(totals["rows"] or 0), int(totals["most"] or 0)
+    rows, most, clash = vector_facts(samples, dim, id_col, vector_col)
+    clean = valid_vectors(samples, dim, id_col, vector_col, clash=clash)
     answered = None
-    if most > k + 1:
-        clean, answered = _reduce_copies(clean, hashes, groups, k, limit, dim)
+    if most > k + 1:  # of many identical vectors only the k + 1 smallest ids can be anyone's neighbours
+        clean, answered = _reduce_copies(clean, k, limit, dim)
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(rows, 1) / LEAF_ROWS)))) if rows > LEAF_ROWS else 0
     planes: list[np.ndarray] = []
     if depth:
         part = min(1.0, FIT_ROWS / rows)
-        some = clean.sample(fraction=part, seed=SEED) if part < 1 else clean
+        some = valid_vectors(samples.sample(fraction=part, seed=SEED), dim, id_col, vector_col, clash=False) if part < 1 else clean
         y = some.mapInArrow(_project(dim, depth), "y array<float>").limit(2 * FIT_ROWS).toPandas()["y"]
         planes = fit_planes(np.stack(y.to_list()).astype(np.float64), depth) if len(y) else []
         depth = len(planes)
@@ -326,7 +322,7 @@ def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.
     return ranked if answered is None else ranked.unionByName(answered)
 
 
-def _reduce_copies(clean: DataFrame, hashes: DataFrame, groups: DataFrame, k: int, limit: float, dim: int):
+def _reduce_copies(clean: DataFrame, k: int, limit: float, dim: int):
     """Rows to index, and the answers of the copies left out.
 
     Of each group of more than ``k + 1`` identical vectors the ``k + 1``
@@ -334,6 +330,8 @@ def _reduce_copies(clean: DataFrame, hashes: DataFrame, groups: DataFrame, k: in
     the distance of the vector from itself.  Groups are told by 96 bits of
     hash.
     """
+    hashes = clean.select("id", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
+    groups = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     large = materialize(groups.filter(F.col("n") > k + 1).select("h1", "h2"), "copies")
     members = hashes.join(large, ["h1", "h2"], "left_semi").distinct()
     ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("r") <= k + 1)

@@ -62,6 +62,29 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles per video, engine and day."""
+    from gallerist.llm.quantiles import frame_summaries, percentile_columns
+
+    return percentile_columns(frame_summaries(table(spark, folder, "video_frames"), table(spark, folder, "video_exports")), (0.5, 0.9, 0.95, 0.99))
+
+
+def p4_engine_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles per engine over all days, combined from the day summaries."""
+    from gallerist.llm.quantiles import combined, frame_summaries, percentile_columns
+
+    days = frame_summaries(table(spark, folder, "video_frames"), table(spark, folder, "video_exports"))
+    return percentile_columns(combined(days, ["engine", "metric"]), (0.5, 0.9, 0.95, 0.99))
+
+
+def p5_subset(spark: SparkSession, folder: str) -> DataFrame:
+    """A twentieth of the valid samples, spread over vectors and conditions."""
+    from gallerist.llm.hilbert import sample_conditions, sample_score, varied_subset
+
+    chosen = varied_subset(table(spark, folder, "samples"), sample_conditions(table(spark, folder, "manifest")), share=0.05, score=sample_score())
+    return chosen.select(F.col("id").alias("sample_id"), F.col("stratum").alias("condition"), "cell", "score")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from gallerist.llm.related import related_groups
 
@@ -75,5 +98,35 @@ def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
     return related_splits(table(spark, folder, "manifest"), table(spark, folder, "pair_manifest"))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    from gallerist.llm.tokens import encode_corpus
+
+    return encode_corpus(table(spark, folder, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document decoded from its ids, and whether that is its text."""
+    from gallerist.llm.tokens import decode_corpus, encode_corpus
+
+    documents = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("original"))
+    decoded = decode_corpus(encode_corpus(table(spark, folder, "documents")))
+    return decoded.join(documents, "doc_id").select("doc_id", (F.col("text") == F.col("original")).alias("same"))
+
+
+def p8_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used in the mixture."""
+    from gallerist.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    from gallerist.llm.mixing import mix, shares
+
+    targets = table(spark, folder, "mix_targets")
+    return shares(mix(table(spark, folder, "documents"), targets), targets)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}

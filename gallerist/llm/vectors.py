@@ -57,21 +57,35 @@ def _only_valid(dim: int):
     return run
 
 
-def valid_vectors(samples: DataFrame, dim: int = DIM, id_col: str = "id", vector_col: str = "vector", keep: tuple[str, ...] = ()) -> DataFrame:
+def right_length(samples: DataFrame, dim: int, id_col: str, vector_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    df = samples.select(F.col(id_col).alias("id"), F.col(vector_col).cast("binary").alias("vector"), *keep)
+    return df.filter((F.octet_length("vector") == 4 * dim) & F.col("id").isNotNull())
+
+
+def vector_facts(samples: DataFrame, dim: int = DIM, id_col: str = "id", vector_col: str = "vector") -> tuple[int, int, bool]:
+    """Rows with a vector of the right length, the largest number of identical
+    vectors, and whether an id comes with several: hashes only, in the JVM."""
+    hashed = right_length(samples, dim, id_col, vector_col).select("id", F.xxhash64("vector").alias("h"))
+    by_id = hashed.groupBy("id").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+    clash = F.max(F.col("low") != F.col("high"))
+    same = by_id.groupBy(F.col("low").alias("h")).agg(F.sum("n").alias("rows"), F.count("*").alias("ids"), clash.alias("clash"))
+    r = same.agg(F.sum("rows").alias("rows"), F.max("ids").alias("most"), F.max("clash").alias("clash")).first()
+    return int(r["rows"] or 0), int(r["most"] or 0), bool(r["clash"])
+
+
+def valid_vectors(samples: DataFrame, dim: int = DIM, id_col: str = "id", vector_col: str = "vector", keep: tuple[str, ...] = (), clash: bool = True) -> DataFrame:
     """``(id, vector, *keep)`` of the rows with an id and a valid vector.
 
     Valid means exactly ``dim`` little-endian floats, all finite, with a norm
     of at least 1e-8.  Rows that repeat another one completely stay repeated
-    here (``one_per_id`` settles them).  If an id comes with several different
-    vectors, the one with the smallest hash counts; that rare case is found
-    by a pass over hashes only, and only then joined out.
+    here.  With ``clash`` (see ``vector_facts``) an id that comes with several
+    different valid vectors keeps the one with the smallest hash.
     """
-    df = samples.select(F.col(id_col).alias("id"), F.col(vector_col).cast("binary").alias("vector"), *keep)
-    df = df.filter((F.octet_length("vector") == 4 * dim) & F.col("id").isNotNull())
+    df = right_length(samples, dim, id_col, vector_col, keep)
     df = df.mapInArrow(_only_valid(dim), df.schema)
-    hashed = df.select("id", F.xxhash64("vector").alias("h"))
-    clash = hashed.groupBy("id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("id", "low")
-    if clash.isEmpty():
+    if not clash:
         return df
-    df = df.withColumn("_h", F.xxhash64("vector")).join(clash, "id", "left")
+    hashed = df.select("id", F.xxhash64("vector").alias("h"))
+    several = hashed.groupBy("id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("id", "low")
+    df = df.withColumn("_h", F.xxhash64("vector")).join(several, "id", "left")
     return df.filter("low IS NULL OR low = _h").drop("_h", "low")
