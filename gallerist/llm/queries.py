@@ -128,5 +128,18 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(mix(table(spark, folder, "documents"), targets), targets)
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from gallerist.llm.subjects import subject_areas
+
+    return subject_areas(table(spark, folder, "documents"), table(spark, folder, "subject_areas"), table(spark, folder, "subject_labels"))
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each subject area and their share of all documents."""
+    found = p9_found(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
+    total = table(spark, folder, "documents").agg(F.countDistinct("doc_id").alias("n")).first()["n"]
+    return found.select("subject", "documents", (F.col("documents") / F.lit(total)).alias("share"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
