@@ -283,7 +283,7 @@ def _project(dim: int, depth: int):
     return run
 
 
-def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.02, dim: int = DIM, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.015, dim: int = DIM, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The ``k`` most similar vectors of every valid vector within ``limit``.
 
     Returns ``(id, neighbour, distance, place)``: half cosine distances in
@@ -316,7 +316,8 @@ def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.
     tasks = spark.range(0, blocks, 1, blocks).select(F.col("id").cast("int").alias("block"))
     found = tasks.mapInArrow(_search(path, dim, planes, shift, k, limit, miss), "id string, neighbour string, distance double")
     # a pair that the test of one side missed is mostly found from the other
-    both = found.unionByName(found.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "distance")).distinct()
+    turned = F.array(F.struct("id", "neighbour"), F.struct(F.col("neighbour").alias("id"), F.col("id").alias("neighbour")))
+    both = found.select(F.explode(turned).alias("p"), "distance").select("p.id", "p.neighbour", "distance").distinct()
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     ranked = both.withColumn("place", place).filter(F.col("place") <= k)
     return ranked if answered is None else ranked.unionByName(answered)
