@@ -65,7 +65,8 @@ def right_length(samples: DataFrame, dim: int, id_col: str, vector_col: str, kee
 def vector_facts(samples: DataFrame, dim: int = DIM, id_col: str = "id", vector_col: str = "vector") -> tuple[int, int, bool]:
     """Rows with a vector of the right length, the largest number of identical
     vectors, and whether an id comes with several: hashes only, in the JVM."""
-    hashed = right_length(samples, dim, id_col, vector_col).select("id", F.xxhash64("vector").alias("h"))
+    zero = F.col("vector") == F.lit(bytes(4 * dim))  # invalid, and often many
+    hashed = right_length(samples, dim, id_col, vector_col).filter(~zero).select("id", F.xxhash64("vector").alias("h"))
     by_id = hashed.groupBy("id").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
     clash = F.max(F.col("low") != F.col("high"))
     same = by_id.groupBy(F.col("low").alias("h")).agg(F.sum("n").alias("rows"), F.count("*").alias("ids"), clash.alias("clash"))
