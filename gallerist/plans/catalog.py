@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from gallerist.plans import registry
+
+MODULES = ("recognition", "galleries", "evaluation", "video", "leakage", "selection", "relational")
+
+
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"gallerist.plans.{m}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.SQL)
