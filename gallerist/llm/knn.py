@@ -283,7 +283,7 @@ def _project(dim: int, depth: int):
     return run
 
 
-def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.015, dim: int = DIM, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.008, dim: int = DIM, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The ``k`` most similar vectors of every valid vector within ``limit``.
 
     Returns ``(id, neighbour, distance, place)``: half cosine distances in
