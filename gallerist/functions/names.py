@@ -20,3 +20,19 @@ def valid_name(name: Column) -> Column:
     """1 to 64 characters, none of them a control or format character."""
     clean = normalized_name(name)
     return ~clean.rlike(r"\p{C}") & (F.char_length(clean) >= 1) & (F.char_length(clean) <= 64)
+
+
+#: Outer blanks, the no-break and the ideographic space included.
+BLANKS = r"^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$"
+
+
+def strip(text: Column | str) -> Column:
+    """The text without outer blanks of any kind."""
+    return F.regexp_replace(text, BLANKS, "")
+
+
+def strip_sql(sql: str) -> str:
+    """The same in SQL: ``trim(x)`` spelled out."""
+    import re
+
+    return re.sub(r"trim\(((?:[^()]|\([^()]*\))*)\)", lambda m: f"regexp_replace({m[1]}, '{BLANKS}', '', 'g')", sql)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gallerist.functions.names import normalized_name, valid_name
+from gallerist.functions.names import normalized_name, strip, strip_sql, valid_name
 from gallerist.plans.registry import query
 
 def people(t):
@@ -51,14 +51,14 @@ def name_keys(t):
     return n.select("raw", normalized_name(F.col("raw")).alias("name"), valid_name(F.col("raw")).alias("valid"))
 
 
-@query("upsert_plan", """
+@query("upsert_plan", strip_sql("""
 WITH n AS (SELECT lower(trim(label)) AS key, count(DISTINCT entry_id) AS entries FROM manifest WHERE section = 'gallery' AND trim(label) <> '' GROUP BY 1),
 p AS (SELECT name_key, min(id) AS id FROM people WHERE active = 1 GROUP BY 1)
-SELECT n.key, n.entries, p.id AS person_id, CASE WHEN p.id IS NULL THEN 'create' ELSE 'append' END AS action FROM n LEFT JOIN p ON p.name_key = n.key""")
+SELECT n.key, n.entries, p.id AS person_id, CASE WHEN p.id IS NULL THEN 'create' ELSE 'append' END AS action FROM n LEFT JOIN p ON p.name_key = n.key"""))
 def upsert_plan(t):
     """Which gallery entries append to an active person and which create one."""
-    key = F.lower(F.trim("label"))
-    n = t("manifest").filter("section = 'gallery' AND trim(label) <> ''").groupBy(key.alias("key")).agg(F.countDistinct("entry_id").alias("entries"))
+    key = F.lower(strip("label"))
+    n = t("manifest").filter((F.col("section") == "gallery") & (strip("label") != "")).groupBy(key.alias("key")).agg(F.countDistinct("entry_id").alias("entries"))
     p = t("people").filter("active = 1").groupBy("name_key").agg(F.min("id").alias("id"))
     return n.join(p, n.key == p.name_key, "left").select("key", "entries", F.col("id").alias("person_id"), F.when(F.col("id").isNull(), "create").otherwise("append").alias("action"))
 
