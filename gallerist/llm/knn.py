@@ -44,7 +44,8 @@ FIT_ROWS = 65_536
 #: Rows that a leaf should hold; levels of the tree at most (the planes are
 #: broadcast: 2^16 doubles at most).
 LEAF_ROWS, MAX_DEPTH = 128, 16
-#: Rows of a block of leaves, about; queries that a task takes at once.
+#: Rows of a block of leaves, about (256 blocks at most, as each search task
+#: may read them all); queries that a task takes at once.
 BLOCK_ROWS, PIECE_ROWS = 6_400, 16_384
 #: Bytes of index blocks that a worker keeps.
 CACHE_BYTES = 112 << 20
@@ -307,7 +308,7 @@ def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.
         y = some.mapInArrow(_project(dim, depth), "y array<float>").limit(2 * FIT_ROWS).toPandas()["y"]
         planes = fit_planes(np.stack(y.to_list()).astype(np.float64), depth) if len(y) else []
         depth = len(planes)
-    shift = max(0, depth - max(4, math.ceil(math.log2(max(rows, 1) / BLOCK_ROWS)))) if depth else 0
+    shift = max(0, depth - min(8, max(4, math.ceil(math.log2(max(rows, 1) / BLOCK_ROWS))))) if depth else 0
     path = new_folder(spark, "vectors")
     blocks = 1 << (depth - shift)
     placed = clean.mapInArrow(_place(dim, planes, shift), "id string, vector binary, leaf int, block int")

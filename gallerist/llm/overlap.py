@@ -17,15 +17,18 @@ joins are equi-joins, which adaptive execution splits where a term is hot.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gallerist.functions.text import folded, key_or_null
 from gallerist.storage import materialize
 
-#: Chunks of a 64-bit hash as (lowest bit, bits).  Two of seven chunks stay
-#: equal if at most five bits differ.
-CHUNKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
+#: Chunks of a 64-bit hash as (lowest bit, bits).  Three of eight chunks stay
+#: equal if at most five bits differ, so three equal chunks (24 bits) are a term.
+CHUNKS = tuple((8 * i, 8) for i in range(8))
+TRIPLES = tuple(combinations(range(len(CHUNKS)), 3))
 #: Bits by which re-encoding changes a difference hash at most.
 NEAR_BITS = 5
 WEIGHT_DIGEST, WEIGHT_PATH, WEIGHT_CHUNKS = 3.0, 2.0, 1.0
@@ -88,22 +91,21 @@ def shot_key(image: Column) -> Column:
 
 
 def picture_terms(digest: Column, dhash: Column, key: Column) -> Column:
-    """Weighted terms of a picture: its digest, its place, and the pairs of
+    """Weighted terms of a picture: its digest, its place, and the triples of
     chunks of its difference hash."""
     terms = [
         F.when(digest.isNotNull(), F.struct(F.xxhash64(F.lit("digest"), digest).alias("term"), F.lit(WEIGHT_DIGEST).alias("weight"))),
         F.when(key.isNotNull(), F.struct(F.xxhash64(F.lit("path"), key).alias("term"), F.lit(WEIGHT_PATH).alias("weight"))),
     ]
-    for i, (a, wide_a) in enumerate(CHUNKS):
-        for j, (b, wide_b) in enumerate(CHUNKS[:i]):
-            x = F.shiftrightunsigned(dhash, a).bitwiseAND((1 << wide_a) - 1)
-            y = F.shiftrightunsigned(dhash, b).bitwiseAND((1 << wide_b) - 1)
-            terms.append(F.when(dhash.isNotNull(), F.struct(F.xxhash64(F.lit(i * 8 + j), x, y).alias("term"), F.lit(WEIGHT_CHUNKS).alias("weight"))))
+    for n, triple in enumerate(TRIPLES):
+        mask = sum(((1 << CHUNKS[c][1]) - 1) << CHUNKS[c][0] for c in triple)
+        bits = dhash.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        terms.append(F.when(dhash.isNotNull(), F.struct(F.xxhash64(F.lit(n), bits).alias("term"), F.lit(WEIGHT_CHUNKS).alias("weight"))))
     return F.filter(F.array(*terms), lambda x: x.isNotNull())
 
 
-#: Cosine at which one equal pair of chunks is enough.
-LEAST_COSINE = WEIGHT_CHUNKS**2 / (WEIGHT_DIGEST**2 + WEIGHT_PATH**2 + WEIGHT_CHUNKS**2 * len(CHUNKS) * (len(CHUNKS) - 1) / 2)
+#: Cosine at which one equal triple of chunks is enough.
+LEAST_COSINE = WEIGHT_CHUNKS**2 / (WEIGHT_DIGEST**2 + WEIGHT_PATH**2 + WEIGHT_CHUNKS**2 * len(TRIPLES))
 
 
 def prepared_entries(manifest: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def cross_split_overlaps(manifest: DataFrame, train: str = "train") -> DataFrame
     """Pairs of a train entry and another split's entry made from the same shot.
 
     Returns ``(train_entry, other_entry, split, source, cosine)``.  The cosine
-    join proposes pairs that share a digest, a place or two chunks of the
+    join proposes pairs that share a digest, a place or three chunks of the
     difference hash.  A pair counts if the digests are equal; or the places
     are and the hashes are near or one is missing; or the hashes are near
     (``NEAR_BITS``) and the entries share a subject, session or time of
