@@ -20,13 +20,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gallerist.storage import materialize
 
 FAN_IN = 16
+#: Frames of a video that are summarised together.
+STRETCH = 65_536
 SUMMARY = "n bigint, v array<double>, low array<bigint>, high array<bigint>"
 
 
@@ -84,57 +86,110 @@ def query(s, p: float) -> float:
     return float(v[np.argmin(np.maximum(rank - low, high - rank))])
 
 
-def _merged(size: int, keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.asarray(v, float), np.asarray(a, np.int64), np.asarray(b, np.int64)) for v, a, b in zip(pdf["v"], pdf["low"], pdf["high"])]
-        parts.sort(key=lambda s: (len(s[0]), s[0].tobytes(), s[1].tobytes()))  # any order of arrival gives one result
-        while len(parts) > 1:
-            parts = [merge(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        v, low, high = compress(parts[0], size)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame(row | {"n": [int(pdf["n"].sum())], "v": [v], "low": [low], "high": [high]})
+def _open(v, low, high):
+    """A stored summary; one without ranks is exact."""
+    v = np.asarray(v, float)
+    if not len(low):
+        rank = np.arange(1, len(v) + 1)
+        return v, rank, rank
+    return v, np.asarray(low, np.int64), np.asarray(high, np.int64)
 
-    return run
 
-
-def summaries(df: DataFrame, keys: list[str], value: str, size: int, slices: int) -> DataFrame:
-    """``(*keys, n, v, low, high)``: one summary for each group.
-
-    Values that are null, NaN or infinite are no measurements.  Groups are cut
-    into ``slices`` slices by a hash, so no task sees a whole group.
+def _stored(s) -> tuple:
+    """A summary as stored: ranks are left out while they are 1, 2, 3, ..."""
+    v, low, high = s
+    exact = len(v) == (high[-1] if len(v) else 0)
+    return (v, low[:0], high[:0]) if exact else s
+
+
+def _runs(batches, keys: list[str]):
+    """(key values, table) of runs of equal keys over batches sorted by them."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in cols:
+            same = c[1:] == c[:-1]
+            if c.dtype == object:
+                same = np.asarray(same, bool) | np.array([x is None and y is None for x, y in zip(c[1:], c[:-1])], bool)
+            change |= ~np.asarray(same, bool)
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            key = tuple(batch.column(k)[int(a)].as_py() for k in keys) if not held or a or tuple(batch.column(k)[0].as_py() for k in keys) != now else now
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _fields(df: DataFrame, keys: list[str]) -> tuple[str, pa.Schema]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    part = df.select(*keys).schema
+    arrow = list(to_arrow_schema(part)) + [pa.field("n", pa.int64()), pa.field("v", pa.list_(pa.float64())), pa.field("low", pa.list_(pa.int64())), pa.field("high", pa.list_(pa.int64()))]
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in part] + [SUMMARY]), pa.schema(arrow)
+
+
+def _emit(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _emitted(results, schema: pa.Schema):
+    rows, size = [], 0
+    for r in results:
+        rows.append(r)
+        size += len(r[-3]) + 1
+        if size > 200_000:
+            yield _emit(rows, schema)
+            rows, size = [], 0
+    if rows:
+        yield _emit(rows, schema)
+
+
+def summaries(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """One summary ``(*keys, n, v, low, high)`` for each run of equal keys of
+    ``rows(*keys, value)``, which are sorted by the keys inside partitions.
+
+    A run should be of bounded length: cut large groups by a further key.
     """
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
-    rows = rows.select(*keys, F.col(value).cast("double").alias("_x"), F.spark_partition_id().alias("_slice"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    ddl, schema = _fields(rows, keys)
 
-    def leaf(batches):
-        for pdf in batches:
-            if len(pdf):
-                out = []
-                for key, x in pdf.groupby([*keys, "_slice"], dropna=False, sort=False)["_x"]:
-                    v, low, high = compress(summarize(x.to_numpy()), size)
-                    out.append([*key, len(x), v, low, high])
-                yield pd.DataFrame(out, columns=[*keys, "_slice", "n", "v", "low", "high"])
+    def run(batches):
+        yield from _emitted(((*k, t.num_rows, *_stored(compress(summarize(t.column("value").to_numpy()), size))) for k, t in _runs(batches, keys)), schema)
 
-    parts = rows.mapInPandas(leaf, f"{schema}, _slice int, {SUMMARY}")
-    return merge_summaries(parts, keys, size, slices)
+    return rows.mapInArrow(run, ddl)
 
 
 def merge_summaries(parts: DataFrame, keys: list[str], size: int, slices: int) -> DataFrame:
-    """One summary for each group, from any number of them in ``_slice``s.
+    """One summary for each group from summaries in numbered ``_slice``s.
 
-    Each round gives every merge at most about ``FAN_IN`` slices, until one
-    slice is left.
+    Each round merges about ``FAN_IN`` neighbouring slices of a group, until
+    one is left; with one slice there is nothing to merge.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*keys).schema)
-    while True:
-        # batches of a slice first, then FAN_IN slices at a time
-        run = _merged(size, [*keys, "_slice"])
-        parts = parts.groupBy(*keys, "_slice").applyInPandas(run, f"{schema}, _slice int, {SUMMARY}")
-        if slices <= 1:
-            return parts.drop("_slice")
+    ddl, schema = _fields(parts, [*keys, "_slice"])
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def merged(tables):
+        for k, t in tables:
+            s = [_open(*x) for x in zip(*(t.column(c).to_pylist() for c in ("v", "low", "high")))]
+            s.sort(key=lambda x: (len(x[0]), x[0].tobytes(), x[1].tobytes()))  # any order of arrival gives one result
+            while len(s) > 1:
+                s = [merge(*s[i : i + 2]) if i + 1 < len(s) else s[i] for i in range(0, len(s), 2)]
+            yield (*k, sum(t.column("n").to_pylist()), *_stored(compress(s[0], size)))
+
+    def run(batches):
+        yield from _emitted(merged(_runs(batches, [*keys, "_slice"])), schema)
+
+    while slices > 1:
         slices = -(-slices // FAN_IN)
-        parts = parts.withColumn("_slice", (F.pmod(F.col("_slice"), F.lit(slices))).cast("int"))
+        parts = parts.withColumn("_slice", F.floor(F.col("_slice") / FAN_IN).cast("int")).select(*keys, "_slice", "n", "v", "low", "high")
+        parts = parts.repartition(tasks, *keys, "_slice").sortWithinPartitions(*keys, "_slice").mapInArrow(run, ddl)
+    return parts.drop("_slice")
 
 
 def percentile_columns(summary: DataFrame, percentiles: tuple[float, ...]) -> DataFrame:
@@ -145,7 +200,7 @@ def percentile_columns(summary: DataFrame, percentiles: tuple[float, ...]) -> Da
 
     def run(batches):
         for pdf in batches:
-            s = [(np.asarray(v, float), np.asarray(a, np.int64), np.asarray(b, np.int64)) for v, a, b in zip(pdf["v"], pdf["low"], pdf["high"])]
+            s = [_open(*x) for x in zip(pdf["v"], pdf["low"], pdf["high"])]
             out = pdf[[*keys, "n"]].copy()
             for name, p in zip(names, percentiles):
                 out[name] = [query(x, p) for x in s]
@@ -156,14 +211,20 @@ def percentile_columns(summary: DataFrame, percentiles: tuple[float, ...]) -> Da
 
 
 def frame_measures(frames: DataFrame) -> DataFrame:
-    """``(video, day, metric, value)`` of analysed frames.
+    """``(video, day, metric, _slice, value)`` of analysed frames, sorted by
+    these keys inside partitions.
 
     A redelivered frame counts once; day is the date of reception.  Null, NaN,
-    infinite and negative values are no measurements.
+    infinite and negative values are no measurements.  ``_slice`` numbers the
+    stretches of ``STRETCH`` frames of a video; a stretch is in one partition,
+    so a long video is spread and a short one is together.
     """
-    key = frames.filter("video IS NOT NULL AND frame IS NOT NULL").groupBy("video", "frame").agg(F.min(F.struct("received_at", "processing_ms", "timestamp")).alias("r"))
-    rows = key.select("video", F.to_date("r.received_at").alias("day"), F.explode(F.array(F.struct(F.lit("processing_ms").alias("metric"), F.col("r.processing_ms").alias("value")), F.struct(F.lit("timestamp").alias("metric"), F.col("r.timestamp").alias("value")))).alias("m"))
-    return rows.select("video", "day", "m.metric", "m.value").filter("value >= 0 AND NOT isnan(value)")
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = frames.filter("video IS NOT NULL AND frame IS NOT NULL").select("video", "frame", "received_at", "processing_ms", "timestamp", F.greatest(F.lit(0), F.floor(F.col("frame") / STRETCH)).cast("int").alias("_slice"))
+    once = rows.repartition(parts, "video", "_slice").groupBy("video", "_slice", "frame").agg(F.min(F.struct("received_at", "processing_ms", "timestamp")).alias("r"))
+    both = F.array(F.struct(F.lit("processing_ms").alias("metric"), F.col("r.processing_ms").alias("value")), F.struct(F.lit("timestamp").alias("metric"), F.col("r.timestamp").alias("value")))
+    m = once.select("video", F.to_date("r.received_at").alias("day"), F.explode(both).alias("m"), "_slice").select("video", "day", "m.metric", "_slice", "m.value")
+    return m.filter("value >= 0 AND NOT isnan(value) AND value < double('infinity')").sortWithinPartitions("video", "day", "metric", "_slice")
 
 
 def frame_summaries(frames: DataFrame, exports: DataFrame, error: float = 0.001) -> DataFrame:
@@ -172,15 +233,22 @@ def frame_summaries(frames: DataFrame, exports: DataFrame, error: float = 0.001)
     ``error`` bounds the rank error as a share of n over all levels of merges.
     A video without an export row has a null engine.
     """
-    slices = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    levels = 3 + math.ceil(math.log(max(slices, 2), FAN_IN))
-    size = math.ceil(levels / error)
+    slices = int(frames.agg(F.max("frame")).first()[0] or 0) // STRETCH + 1
+    size = _size(slices, error)
+    keys = ["video", "day", "metric"]
+    parts = merge_summaries(summaries(frame_measures(frames), [*keys, "_slice"], size), keys, size, slices)
     engine = exports.groupBy("video").agg(F.min("engine").alias("engine"))
-    parts = summaries(frame_measures(frames), ["video", "day", "metric"], "value", size, slices)
     return parts.join(engine, "video", "left").select("video", "engine", "day", "metric", "n", "v", "low", "high")
 
 
+def _size(slices: int, error: float) -> int:
+    """Tuples at which the compressions of all levels stay within ``error``."""
+    levels = 1 + (math.ceil(math.log(slices, FAN_IN)) if slices > 1 else 0)
+    return max(1_000, math.ceil(2 * levels / error))
+
+
 def combined(summary: DataFrame, keys: list[str], error: float = 0.001) -> DataFrame:
     """Summaries of coarser groups, made of finished summaries only."""
-    parts = materialize(summary, "summaries").withColumn("_slice", F.pmod(F.xxhash64("video", "day"), F.lit(FAN_IN * FAN_IN)).cast("int"))
-    return merge_summaries(parts.select(*keys, "_slice", "n", "v", "low", "high"), keys, math.ceil(6 / error), FAN_IN * FAN_IN)
+    slices = FAN_IN**3
+    parts = materialize(summary, "summaries").withColumn("_slice", F.pmod(F.xxhash64("video", "day"), F.lit(slices)).cast("int"))
+    return merge_summaries(parts.select(*keys, "_slice", "n", "v", "low", "high"), keys, _size(slices, error), slices)
