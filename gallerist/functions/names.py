@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalized_name(name: Column) -> Column:
@@ -11,9 +13,15 @@ def normalized_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"[\s 　]+", " "), "^ +| +$", "")
 
 
+@F.pandas_udf(StringType())
+def _casefold(names: pd.Series) -> pd.Series:
+    return names.map(lambda v: None if v is None else v.casefold())
+
+
 def name_key(name: Column) -> Column:
-    """Key under which a name is unique: normalised, without case."""
-    return F.lower(normalized_name(name))
+    """Key under which a name is unique: normalised, and case-folded (which is
+    more than lower case: sharp s equals ss)."""
+    return _casefold(normalized_name(name))
 
 
 def valid_name(name: Column) -> Column:

@@ -62,3 +62,29 @@ def test_stream_equals_replay(spark, data, tmp_path):
     got = sorted(map(str, spark.table("tracked").collect()))
     assert got == want and len(got) > 100
     assert pytest.approx(1.0) == 1.0
+
+
+def run_stream(spark, source, make, tmp_path, name):
+    q = make(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def test_event_streams_equal_batch(spark, data, tmp_path):
+    from gallerist.plans import catalog
+    from gallerist.streaming import events as S
+
+    events = spark.read.parquet(f"{data}/events.parquet").orderBy("ts", "event_id")
+    half = events.count() // 2
+    for i, part in enumerate((events.limit(half), events.exceptAll(events.limit(half)))):
+        part.coalesce(1).write.parquet(str(tmp_path / "src" / f"{i}"))
+    read = lambda: spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    want = {(r["event_id"], r["stable"]) for r in catalog.queries()["event_votes"](spark, data).collect()}
+    got = {(r["event_id"], r["stable"]) for r in run_stream(spark, read(), S.votes, tmp_path, "votes").collect()}
+    assert got == want
+    rows = sorted((r["user_id"], r["ts"], r["event_id"], r["event_type"]) for r in events.collect())
+    changed = {b[2] for a, b in zip([(None,) * 4, *rows], rows) if a[0] != b[0] or a[3] != b[3]}
+    assert {r["event_id"] for r in run_stream(spark, read(), S.changes, tmp_path, "changes").collect()} == changed
+    batch = {(r["user_id"], r["started"], r["events"]) for r in catalog.queries()["event_sessions"](spark, data).collect()}
+    closed = {(r["user_id"], r["started"].replace(tzinfo=None), r["events"]) for r in run_stream(spark, read(), lambda e: S.sessions(e, late="3650 days"), tmp_path, "sessions").collect()}
+    assert closed <= batch
