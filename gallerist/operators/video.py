@@ -13,8 +13,11 @@ WINDOW, LEAST, SHARE = 7, 4, 0.6
 
 
 def frames_once(frames: DataFrame) -> DataFrame:
-    """Frames without redelivered rows, with their ordinal in the video."""
-    one = frames.filter("video IS NOT NULL AND frame IS NOT NULL").dropDuplicates(["video", "frame"])
+    """Frames without redelivered rows, with their ordinal in the video.
+
+    One shuffle by video serves the removal of repeated rows, the ordinals and
+    all later windows over a video or its tracks."""
+    one = frames.filter("video IS NOT NULL AND frame IS NOT NULL").repartition("video").dropDuplicates(["video", "frame"])
     return one.withColumn("ordinal", F.row_number().over(Window.partitionBy("video").orderBy("frame")))
 
 

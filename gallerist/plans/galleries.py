@@ -13,7 +13,7 @@ def people(t):
 
 
 def samples(t):
-    return t("samples").select("id", "person_id", "created_at", F.octet_length("vector").alias("bytes"), "quality").distinct()
+    return t("samples").select("id", "person_id", F.octet_length("vector").alias("bytes")).distinct()
 
 
 @query("gallery_scan", """

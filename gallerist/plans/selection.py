@@ -81,6 +81,6 @@ def component_bootstrap(t):
     from gallerist.plans.leakage import pair_components, pairs
 
     c = pair_components(t)
-    p = pairs(t).filter("genuine IS NOT NULL AND left_subject_id IS NOT NULL").join(c, F.lower(strip("left_subject_id")) == F.col("subject"))
+    p = pairs(t, "genuine", "left_subject_id").filter("genuine IS NOT NULL AND left_subject_id IS NOT NULL").join(c, F.lower(strip("left_subject_id")) == F.col("subject"))
     counts = p.groupBy("component").agg(F.count("*").alias("total"), F.count_if("genuine").alias("hits"))
     return component_interval(counts, iterations=2000, seed=SEED)
