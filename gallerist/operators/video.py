@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "__unknown__"
+#: Frame numbers of a video that are counted together.
+STRETCH = 65_536
 #: Fixed values of voting: frames in the window, least frames, least share.
 WINDOW, LEAST, SHARE = 7, 4, 0.6
 
@@ -15,10 +17,18 @@ WINDOW, LEAST, SHARE = 7, 4, 0.6
 def frames_once(frames: DataFrame) -> DataFrame:
     """Frames without redelivered rows, with their ordinal in the video.
 
-    One shuffle by video serves the removal of repeated rows, the ordinals and
-    all later windows over a video or its tracks."""
-    one = frames.filter("video IS NOT NULL AND frame IS NOT NULL").repartition("video").dropDuplicates(["video", "frame"])
-    return one.withColumn("ordinal", F.row_number().over(Window.partitionBy("video").orderBy("frame")))
+    A video is cut into stretches of frame numbers, so that a video with a
+    large part of all rows is spread over many tasks: ordinals are counted
+    inside a stretch and moved by the number of frames in the stretches
+    before.  Later windows are over tracks, not whole videos.
+    """
+    known = frames.filter("video IS NOT NULL AND frame IS NOT NULL").withColumn("_stretch", F.floor(F.col("frame") / STRETCH))
+    sizes = known.select("video", "_stretch", "frame").distinct().groupBy("video", "_stretch").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("video").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("video", "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    one = known.repartition("video", "_stretch").dropDuplicates(["video", "_stretch", "frame"])
+    one = one.withColumn("_at", F.row_number().over(Window.partitionBy("video", "_stretch").orderBy("frame")))
+    return one.join(sizes, ["video", "_stretch"]).withColumn("ordinal", F.col("_at") + F.col("_before")).drop("_stretch", "_at", "_before")
 
 
 def faces(frames: DataFrame) -> DataFrame:

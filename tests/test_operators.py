@@ -132,3 +132,13 @@ def test_bootstrap(spark):
 
 def test_pandas_available():
     assert pd.__version__
+
+
+def test_ordinals_over_stretches(spark, monkeypatch):
+    from gallerist.operators import video as V
+
+    monkeypatch.setattr(V, "STRETCH", 10)
+    frames = [("a", f) for f in (0, 3, 9, 10, 31, 35, 99)] + [("b", 50), ("a", 3), (None, 1), ("a", None)]
+    df = spark.createDataFrame(frames, "video string, frame int")
+    got = {(r["video"], r["frame"]): r["ordinal"] for r in V.frames_once(df).collect()}
+    assert got == {("a", f): i for i, f in enumerate((0, 3, 9, 10, 31, 35, 99), 1)} | {("b", 50): 1}
