@@ -43,16 +43,17 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     nothing; an empty side gives an empty result.
     """
 
-    def unit(df: DataFrame) -> DataFrame:
-        df = df.filter(F.size("terms") > 0)
+    def sized(df: DataFrame) -> DataFrame:
         norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
-        return df.select("id", F.transform("terms", lambda x: F.struct(x["term"].alias("term"), (x["weight"] / norm).alias("weight"))).alias("terms"))
+        return df.filter(F.size("terms") > 0).select("id", norm.alias("norm"), "terms")
 
-    a, b = materialize(unit(left), "left"), materialize(unit(right), "right")
-    probe = b.select("id", F.explode("terms").alias("x")).select("id", F.col("x.term").alias("term"), F.col("x.weight").alias("weight"))
+    def terms(df: DataFrame) -> DataFrame:
+        return df.select("id", "norm", F.explode("terms").alias("x")).select("id", F.col("x.term").alias("term"), (F.col("x.weight") / F.col("norm")).alias("weight"))
+
+    a, b = materialize(sized(left), "left"), materialize(sized(right), "right")
+    probe = terms(b)
     top = probe.groupBy("term").agg(F.max("weight").alias("most"))
-    posts = a.select("id", F.explode("terms").alias("x")).select("id", F.col("x.term").alias("term"), F.col("x.weight").alias("weight"))
-    posts = posts.join(top, "term")  # terms that the other side lacks bind nothing
+    posts = terms(a).join(top, "term")  # terms that the other side lacks bind nothing
     # the tail of each vector that can stay out of the lists: by maximum weights, or by residual norm
     listed = posts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((F.col("weight") * F.col("most")).alias("bound"), "weight", "term"))).alias("t"))
     run = F.aggregate(
@@ -63,16 +64,17 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
             F.struct((s["bound"] + x["bound"]).alias("bound"), (s["square"] + x["weight"] * x["weight"]).alias("square"), F.least(s["bound"] + x["bound"], F.sqrt(s["square"] + x["weight"] * x["weight"])).alias("rest"), (s["out"] + 1).alias("out")),
         ).otherwise(F.struct((s["bound"] + 9.0).alias("bound"), (s["square"] + 9.0).alias("square"), s["rest"].alias("rest"), s["out"].alias("out"))),
     )
-    listed = listed.withColumn("run", run)
+    listed = listed.select("id", "t", run.alias("run"))
     index = listed.select("id", F.col("run.rest").alias("rest"), F.explode(F.slice("t", F.col("run.out") + 1, F.size("t"))).alias("x"))
     index = index.select(F.col("id").alias("left_id"), "rest", F.col("x.term").alias("term"), F.col("x.weight").alias("wa"))
-    partial = index.join(probe.select(F.col("id").alias("right_id"), "term", F.col("weight").alias("wb")), "term")
-    partial = partial.groupBy("left_id", "right_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max("rest").alias("rest"))
-    open_ = partial.filter(F.col("part") + F.col("rest") >= threshold - 1e-9)
-    full = open_.join(a.select(F.col("id").alias("left_id"), F.col("terms").alias("ta")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("terms").alias("tb")), "right_id")
-    weights = F.map_from_entries("tb")
-    dot = F.aggregate("ta", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.element_at(F.col("m"), x["term"]), F.lit(0.0)))
-    return full.withColumn("m", weights).select("left_id", "right_id", dot.alias("cosine")).filter(F.col("cosine") >= threshold - 1e-9)
+    right_terms = probe.select(F.col("id").alias("right_id"), "term", F.col("weight").alias("wb"))
+    partial = index.join(right_terms, "term").groupBy("left_id", "right_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max("rest").alias("rest"))
+    open_ = materialize(partial.filter(F.col("part") + F.col("rest") >= threshold - 1e-9), "open")
+    # a vector without a tail has its exact product already; the tails of the others are looked up
+    tails = listed.filter("run.out > 0").select(F.col("id").alias("left_id"), F.explode(F.slice("t", 1, F.col("run.out"))).alias("x")).select("left_id", F.col("x.term").alias("term"), F.col("x.weight").alias("wa"))
+    more = open_.filter("rest > 0").join(tails, "left_id").join(right_terms, ["right_id", "term"]).groupBy("left_id", "right_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("more"))
+    exact = open_.join(more, ["left_id", "right_id"], "left").select("left_id", "right_id", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("cosine"))
+    return exact.filter(F.col("cosine") >= threshold - 1e-9)
 
 
 def shot_key(image: Column) -> Column:
