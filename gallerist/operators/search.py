@@ -18,17 +18,21 @@ from pyspark.sql import functions as F
 #: Probes whose vectors are sent to all tasks at once; a larger query set is
 #: searched in several passes over the gallery.
 BLOCK = 20_000
+#: Distances computed at once (32 bytes each, with the copies): bounds the
+#: templates that are compared together, but never splits an identity.
+AT_ONCE = 3_000_000
 STRATEGIES = ("nearest", "mean", "median", "topk_mean", "topk_median")
 
 
 def aggregate(distances: np.ndarray, strategy: str, k: int) -> np.ndarray:
-    """Score per probe (rows) of one identity's template distances (columns)."""
+    """Scores from template distances along the last axis."""
     if strategy == "nearest":
-        return distances.min(axis=1)
+        return distances.min(axis=-1)
     if strategy.startswith("topk"):
-        n = min(k, distances.shape[1])
-        distances = np.partition(distances, n - 1, axis=1)[:, :n]
-    return distances.mean(axis=1) if strategy.endswith("mean") else np.median(distances, axis=1)
+        n = min(k, distances.shape[-1])
+        if n < distances.shape[-1]:
+            distances = np.partition(distances, n - 1, axis=-1)[..., :n]
+    return distances.mean(axis=-1) if strategy.endswith("mean") else np.median(distances, axis=-1)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -47,14 +51,17 @@ def identity_scores(probes: DataFrame, gallery: DataFrame, strategies: tuple[tup
     kind = gallery.schema["identity"].dataType.simpleString()
     ok = "vector IS NOT NULL AND size(vector) > 0 AND exists(vector, x -> x <> 0)"
     queries = probes.select("probe", F.col("vector").cast("array<double>").alias("vector")).filter(ok)
-    rows = gallery.select("identity", "template", F.col("vector").cast("array<double>").alias("vector")).filter(ok).dropDuplicates(["identity", "template"])
-    parts = rows.repartition(int(gallery.sparkSession.conf.get("spark.sql.shuffle.partitions")), "identity").sortWithinPartitions("identity", "template")
+    rows = gallery.select("identity", "template", F.col("vector").cast("array<double>").alias("vector")).filter(ok)
+    # one shuffle by identity serves the removal of repeated templates and the scoring
+    tasks = int(gallery.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.repartition(tasks, "identity").dropDuplicates(["identity", "template"]).sortWithinPartitions("identity", "template")
     schema = f"probe bigint, identity {kind}, strategy string, k int, score double"
+    first = queries.limit(BLOCK + 1).toPandas()
+    blocks = [first] if len(first) <= BLOCK else None
+    count = 1 if blocks else -(-queries.count() // BLOCK) + 1
     out = None
-    total = queries.count()
-    for part in range(max(1, -(-total // BLOCK))):
-        block = queries if total <= BLOCK else queries.filter(F.pmod(F.xxhash64("probe"), F.lit(-(-total // BLOCK))) == part)
-        local = block.toPandas()
+    for part in range(count):
+        local = first if blocks else queries.filter(F.pmod(F.xxhash64("probe"), F.lit(count)) == part).toPandas()
         shared = gallery.sparkSession.sparkContext.broadcast((local["probe"].to_numpy(np.int64), _unit(np.stack(local["vector"].to_list())) if len(local) else None))
         found = parts.mapInPandas(_scorer(shared, strategies, best), schema)
         out = found if out is None else out.unionByName(found)
@@ -64,41 +71,49 @@ def identity_scores(probes: DataFrame, gallery: DataFrame, strategies: tuple[tup
     return out.withColumn("r", rank).filter(F.col("r") <= best).drop("r")
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+
+
 def _scorer(shared, strategies, best):
-    def run(batches):
-        ids, units = shared.value
-        if units is None:
-            return
-        keep: dict = {s: ([], []) for s in strategies}
+    """Whole identities are gathered up to about ``AT_ONCE`` distances and
+    compared as one product; those with equally many templates are aggregated
+    together."""
 
-        def flush(identity, vectors):
-            d = np.clip((1.0 - units @ _unit(np.stack(vectors)).T) / 2.0, 0.0, 1.0)
+    def score(names: list, sizes: list, vectors: list):
+        ids, units = shared.value
+        d = np.clip((1.0 - units @ _unit(np.stack(vectors)).T) / 2.0, 0.0, 1.0)
+        sizes = np.array(sizes)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        tables = {s: np.empty((len(ids), len(names))) for s in strategies}
+        for n in np.unique(sizes):
+            which = np.flatnonzero(sizes == n)
+            cube = d[:, (starts[which][:, None] + np.arange(n)).ravel()].reshape(len(ids), len(which), n)
             for s in strategies:
-                keep[s][0].append(identity)
-                keep[s][1].append(aggregate(d, *s))
-            return drain(False)
-
-        def drain(last):
-            for (name, k), (names, scores) in keep.items():
-                if names and (last or len(names) >= 256):
-                    table = np.stack(scores, axis=1)
-                    n = len(names) if best is None else min(best, len(names))
-                    order = np.argsort(table, axis=1, kind="stable")[:, :n]
-                    yield pd.DataFrame({"probe": np.repeat(ids, n), "identity": np.array(names, object)[order.ravel()], "strategy": name, "k": k, "score": np.take_along_axis(table, order, 1).ravel()})
-                    names.clear()
-                    scores.clear()
-
-        now, held = None, []
+                tables[s][:, which] = aggregate(cube, *s)
+        for (name, k), table in tables.items():
+            n = len(names) if best is None else min(best, len(names))
+            order = np.argsort(table, axis=1, kind="stable")[:, :n]
+            yield pd.DataFrame({"probe": np.repeat(ids, n), "identity": np.array(names, object)[order.ravel()], "strategy": name, "k": k, "score": np.take_along_axis(table, order, 1).ravel()})
+
+    def run(batches):
+        if shared.value[1] is None:
+            return
+        most = max(64, AT_ONCE // len(shared.value[0]))
+        names, sizes, vectors = [], [], []
         for pdf in batches:
             for identity, vector in zip(pdf["identity"], pdf["vector"]):
-                if held and identity != now:
-                    yield from flush(now, held)
-                    held = []
-                now = identity
-                held.append(np.asarray(vector, float))
-        if held:
-            yield from flush(now, held)
-        yield from drain(True)
+                if names and names[-1] == identity:
+                    sizes[-1] += 1
+                else:
+                    if len(vectors) >= most:
+                        yield from score(names, sizes, vectors)
+                        names, sizes, vectors = [], [], []
+                    names.append(identity)
+                    sizes.append(1)
+                vectors.append(np.asarray(vector, float))
+        if names:
+            yield from score(names, sizes, vectors)
 
     return run
 
