@@ -25,7 +25,7 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
     samples = table(spark, folder, "samples")
     owner = samples.groupBy(F.col("id").alias("neighbour")).agg(F.min("person_id").alias("person_id"))
-    near = nearest(samples, k=5, limit=ALIKE)
+    near = nearest(samples, k=5)
     return near.join(owner, "neighbour").select(F.col("id").alias("sample_id"), "neighbour", "person_id", "distance", "place")
 
 

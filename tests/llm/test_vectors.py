@@ -157,3 +157,20 @@ def test_varied_subset(spark):
     assert H.varied_subset(df, strata, size=5000, score=F.col("q"), dim=DIM).count() == 399
     assert H.varied_subset(df.limit(0), strata, size=5, dim=DIM).count() == 0
     assert {r["id"] for r in H.varied_subset(df, strata, size=60, score=F.col("q"), dim=DIM).collect()} == {r["id"] for r in got}
+
+
+def test_neighbours_of_every_sample(spark, tmp_path):
+    from gallerist.llm import queries as Q
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(60, K.DIM)).astype(np.float32)  # all further apart than ALIKE
+    v[1] = v[0] + 0.01
+    rows = [(f"s{i:02d}", pack(x), f"p{i}") for i, x in enumerate(v)] + [("bad", None, "p0")]
+    spark.createDataFrame(rows, "id string, vector binary, person_id string").write.parquet(str(tmp_path / "samples.parquet"))
+    got: dict = {}
+    for r in Q.p1_neighbours(spark, str(tmp_path)).collect():
+        assert r["person_id"] == "p" + str(int(r["neighbour"][1:]))
+        got.setdefault(r["sample_id"], []).append((r["place"], r["neighbour"]))
+    d = exact(v)
+    assert {i: [n for _, n in sorted(x)] for i, x in got.items()} == {f"s{i:02d}": [f"s{j:02d}" for j in np.argsort(d[i], kind="stable")[:5]] for i in range(60)}
+    assert {(r["sample_a"], r["sample_b"]) for r in Q.p1_found(spark, str(tmp_path)).collect()} == {("s00", "s01")}
