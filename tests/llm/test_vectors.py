@@ -174,3 +174,30 @@ def test_neighbours_of_every_sample(spark, tmp_path):
     d = exact(v)
     assert {i: [n for _, n in sorted(x)] for i, x in got.items()} == {f"s{i:02d}": [f"s{j:02d}" for j in np.argsort(d[i], kind="stable")[:5]] for i in range(60)}
     assert {(r["sample_a"], r["sample_b"]) for r in Q.p1_found(spark, str(tmp_path)).collect()} == {("s00", "s01")}
+
+
+def rows_of(df):
+    return sorted((r["id"], r["cluster_id"], r["size"], r["degree"], r["part_id"], r["part_size"], r["medoid"]) for r in df.collect())
+
+
+def split_by_hand(ids, d, limit):
+    """Degree, part and medoid of every clustered id, one medoid after another."""
+    near, lab, out = d <= limit, np.array(components(d, limit)), []
+    for head in sorted(set(lab)):
+        left = members = np.flatnonzero(lab == head)
+        degree = {i: int(near[i][members].sum()) for i in members}
+        while len(members) > 1 and len(left):
+            top = min(left, key=lambda i: (-near[i][left].sum(), ids[i]))
+            part = [i for i in left if near[top, i] or i == top]
+            out += [(ids[i], ids[head], len(members), degree[i], ids[part[0]], len(part), bool(i == top)) for i in part]
+            left = np.array([i for i in left if i not in part])
+    return sorted(out)
+
+
+def test_large_groups_are_split_as_small_ones(spark):
+    v = vectors(160, 12, seed=3, spread=0.65)
+    ids = [f"s{i:04d}" for i in range(len(v))]
+    want = split_by_hand(ids, exact(v), 0.14)
+    assert max(x[2] for x in want) > 16 and len({x[4] for x in want}) > len({x[1] for x in want})
+    for cap in (16_384, 8):
+        assert rows_of(C.clusters(frame(spark, zip(ids, map(pack, v))), limit=0.14, at=0.14, recall=0.9999, dim=DIM, group_cap=cap)) == want
