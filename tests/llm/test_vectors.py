@@ -201,3 +201,13 @@ def test_large_groups_are_split_as_small_ones(spark):
     assert max(x[2] for x in want) > 16 and len({x[4] for x in want}) > len({x[1] for x in want})
     for cap in (16_384, 8):
         assert rows_of(C.clusters(frame(spark, zip(ids, map(pack, v))), limit=0.14, at=0.14, recall=0.9999, dim=DIM, group_cap=cap)) == want
+
+
+@pytest.mark.parametrize("cap", [16_384, 8])
+def test_copies_count_in_degrees_and_medoids(spark, monkeypatch, cap):
+    v = vectors(80, 6, seed=3, spread=0.65)
+    hot = np.concatenate([v, np.repeat(v[[5, 40]], [7, 4], axis=0), np.repeat(-vectors(1, 1, seed=8), 5, axis=0)])
+    ids = [f"s{i:04d}" for i in range(len(hot))]
+    monkeypatch.setattr(C, "COPIES", 3)
+    got = rows_of(C.clusters(frame(spark, zip(ids, map(pack, hot))), limit=0.14, at=0.14, recall=0.9999, dim=DIM, group_cap=cap))
+    assert got == split_by_hand(ids, exact(hot), 0.14)
