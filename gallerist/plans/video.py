@@ -198,11 +198,23 @@ u AS (SELECT *, CASE WHEN p[3] * p[4] + q[3] * q[4] - inter > 0 THEN inter / (p[
 @query("association_edges", EDGES + """SELECT video, ordinal, i, j, round(iou, 6) AS iou, round(CASE WHEN centre > 1.5 THEN NULL WHEN d IS NOT NULL AND d <= 0.25 THEN 0.75 * d + 0.25 * (1 - iou) / 2 WHEN d IS NULL AND iou >= 0.3 THEN (1 - iou) / 2 END, 6) AS cost FROM u WHERE iou > 0""")
 def association_edges(t):
     """Overlapping faces of consecutive frames and the cost of linking them."""
+    return face_pairs(t).filter("iou > 0")
+
+
+@query("association_links", EDGES + """, c AS (SELECT video, ordinal, i, j, round(iou, 6) AS iou, round(CASE WHEN centre > 1.5 THEN NULL WHEN d IS NOT NULL AND d <= 0.25 THEN 0.75 * d + 0.25 * (1 - iou) / 2 WHEN d IS NULL AND iou >= 0.3 THEN (1 - iou) / 2 END, 6) AS cost FROM u)
+SELECT * FROM c WHERE cost IS NOT NULL""")
+def association_links(t):
+    """Every link between faces of consecutive frames that the rule of
+    association allows, with or without an overlap."""
+    return face_pairs(t).filter("cost IS NOT NULL")
+
+
+def face_pairs(t):
     q = faces(t).select("video", "ordinal", F.col("idx").cast("bigint").alias("idx"), "box", F.col("single_distance").alias("d"))
     a, b = q.alias("a"), q.withColumn("ordinal", F.col("ordinal") - 1).alias("b")
     e = a.join(b, (F.col("a.video") == F.col("b.video")) & (F.col("a.ordinal") == F.col("b.ordinal")))
     p, r = B.box_of(F.col("a.box")), B.box_of(F.col("b.box"))
-    return e.select("a.video", F.col("a.ordinal").cast("bigint").alias("ordinal"), F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), F.round(B.iou(p, r), 6).alias("iou"), F.round(B.association_cost(p, r, F.col("b.d")), 6).alias("cost")).filter("iou > 0")
+    return e.select("a.video", F.col("a.ordinal").cast("bigint").alias("ordinal"), F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), F.round(B.iou(p, r), 6).alias("iou"), F.round(B.association_cost(p, r, F.col("b.d")), 6).alias("cost"))
 
 
 @query("continuity", RUNS + """,

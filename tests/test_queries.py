@@ -50,3 +50,8 @@ def test_query(spark, data, duck, name):
     at = [list(rel.columns).index(c) for c in cols]
     want = Counter(str([plain(r[i]) for i in at]) for r in rel.fetchall())
     assert got == want
+
+
+def test_links_without_overlap(spark, data):
+    links = QUERIES["association_links"](spark, data).collect()
+    assert any(r["iou"] == 0 for r in links) and all(r["cost"] is not None for r in links)
