@@ -7,12 +7,17 @@ of enrolled people are templates.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gallerist.functions import vectors as V
 from gallerist.operators import search
 from gallerist.plans.registry import query
+from gallerist.storage import materialize
 
+#: Templates of a block whose pairs one task compares.
+PAIR_ROWS = 1_024
 THRESHOLD, MARGIN = 0.36, 0.005
 
 BASE = """
@@ -105,6 +110,46 @@ def template_pairs_genuine(t):
     return p.groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.min("d"), 6).alias("least"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.max("d"), 6).alias("most"))
 
 
+@query("template_pairs_all", """
+WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.label, (1 - list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v))) / 2 AS d
+FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT label, count(*) AS pairs, round(min(d), 6) AS least, round(avg(d), 6) AS mean, round(max(d), 6) AS most FROM p GROUP BY label""")
+def template_pairs_all(t):
+    """Distances between all templates of one person: every unordered pair
+    once, per label."""
+    return pair_summaries(t("embeddings"))
+
+
+def pair_summaries(embeddings, rows=PAIR_ROWS):
+    """Count, least, mean and largest distance of all pairs of each label, as
+    matrix products of blocks of about ``rows``."""
+    e = embeddings.filter("label IS NOT NULL AND vec_id IS NOT NULL").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    sizes = e.groupBy("label").agg(F.ceil(F.count("*") / rows).alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part")
+    packed = e.join(F.broadcast(sizes), "label").select("label", part, "vec_id", "v").groupBy("label", "part").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
+    packed = materialize(packed, "blocks")
+    a, b = packed.alias("a"), packed.alias("b")
+    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.part") <= F.col("b.part")))
+    pairs = pairs.select("a.label", F.col("a.ids").alias("ids_a"), F.col("a.vs").alias("a"), F.col("b.ids").alias("ids_b"), F.col("b.vs").alias("b"), (F.col("a.part") == F.col("b.part")).alias("same"))
+    tasks = 4 * int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = embeddings.schema["label"].dataType.simpleString()
+    d = pairs.repartition(tasks).mapInPandas(_block_summaries, f"label {kind}, n bigint, total double, least double, most double")
+    g = d.groupBy("label").agg(F.sum("n").alias("pairs"), F.round(F.min("least"), 6).alias("least"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"), F.round(F.max("most"), 6).alias("most"))
+    return g
+
+
+def _block_summaries(batches):
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            x, y = (np.stack([np.asarray(v, float) for v in side]) for side in (r.a, r.b))
+            x, y = (m / np.sqrt((m * m).sum(axis=1))[:, None] for m in (x, y))
+            i, j = np.asarray(r.ids_a)[:, None], np.asarray(r.ids_b)[None, :]
+            d = np.clip((1.0 - x @ y.T) / 2.0, 0.0, 1.0)[i < j if r.same else i != j]
+            if len(d):
+                yield pd.DataFrame({"label": [r.label], "n": [len(d)], "total": [d.sum()], "least": [d.min()], "most": [d.max()]})
+
+
 @query("set_consistency", BASE + """
 , q AS (SELECT template AS sample, identity FROM gallery), m AS (
 SELECT p.probe, p.expected, median((1 - list_inner_product(p.vector, g.vector) / sqrt(list_inner_product(p.vector, p.vector) * list_inner_product(g.vector, g.vector))) / 2) AS d
