@@ -118,7 +118,7 @@ def _scorer(shared, strategies, best):
     return run
 
 
-def accepted(best: Column, second: Column, threshold: float, margin: float) -> Column:
+def accepted(best: Column, second: Column, threshold: float | Column, margin: float | Column) -> Column:
     """Inclusive threshold, and a lead over the runner-up (if there is one)."""
     lead = second.isNull() | (second - best >= margin) | (F.abs(second - best - margin) <= 1e-12)
     return (best <= threshold) & lead

@@ -14,8 +14,11 @@ from gallerist.operators.evaluation import count_if, rate
 from gallerist.plans.recognition import gallery, probes
 from gallerist.plans.registry import query
 from gallerist.plans.selection import templates
+from gallerist.storage import materialize
 
 METHODS = ("first", "quality", "random", "diversity", "coverage")
+#: Template budgets, seeds of the random method, and runner-up margins of the matrix.
+BUDGETS, SEEDS, MARGINS = (1, 2, 3, 5), (42, 43, 44), (0.0, 0.02, 0.04, 0.06)
 AGGREGATIONS = (("nearest", 1), ("mean", 0), ("median", 0), ("topk_mean", 2), ("topk_mean", 3), ("topk_median", 3))
 
 
@@ -43,34 +46,37 @@ def matrix_attempts(all_probes: DataFrame, all_templates: DataFrame, budgets: tu
     return best.select("variant", "probe", F.col("b")[0]["identity"].alias("candidate"), F.col("b")[0]["score"].alias("best"), F.get("b", F.lit(1))["score"].alias("second"))
 
 
-def frozen_points(validation: DataFrame, target: float) -> DataFrame:
-    """Threshold of each variant on its validation attempts: most correct, then
-    fewest misidentified, fewest false accepts, then the lowest."""
+def frozen_points(validation: DataFrame, target: float, margins: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """Threshold and margin of each variant on its validation attempts: most
+    correct, then fewest misidentified, fewest false accepts, then the lowest
+    threshold and margin."""
     from gallerist.operators.evaluation import running_sums
 
-    right = F.col("candidate") == F.col("expected")
-    events = validation.groupBy("variant", F.col("best").alias("threshold")).agg(count_if(right).alias("correct"), count_if(~right).alias("misid"), count_if(F.col("expected").isNull()).alias("fa"))
+    right, by = F.col("candidate") == F.col("expected"), ["variant", "margin"]
+    grid = F.explode(F.array(*[F.lit(float(m)) for m in margins])).alias("margin")
+    leads = validation.select("*", grid).filter(search.accepted(F.col("best"), F.col("second"), 1.0, F.col("margin")))
+    events = leads.groupBy(*by, F.col("best").alias("threshold")).agg(count_if(right).alias("correct"), count_if(~right).alias("misid"), count_if(F.col("expected").isNull()).alias("fa"))
     unknown = validation.groupBy("variant").agg(count_if(F.col("expected").isNull()).alias("usable"))
-    zero = unknown.select("variant", F.lit(0.0).alias("threshold"), *[F.lit(0).cast("bigint").alias(c) for c in ("correct", "misid", "fa")])
-    rows = events.unionByName(zero).groupBy("variant", "threshold").agg(*[F.sum(c).alias(c) for c in ("correct", "misid", "fa")])
-    runs = running_sums(rows, ["correct", "misid", "fa"], "threshold", ["variant"]).join(unknown, "variant")
+    zero = unknown.select("variant", grid, F.lit(0.0).alias("threshold"), *[F.lit(0).cast("bigint").alias(c) for c in ("correct", "misid", "fa")])
+    rows = events.unionByName(zero).groupBy(*by, "threshold").agg(*[F.sum(c).alias(c) for c in ("correct", "misid", "fa")])
+    runs = running_sums(rows, ["correct", "misid", "fa"], "threshold", by).join(unknown, "variant")
     open_ = runs.filter(F.coalesce(rate(F.col("run_fa"), F.col("usable")), F.lit(0.0)) <= target + 1e-12)
-    key = F.struct((-F.col("run_correct")).alias("a"), F.col("run_misid").alias("b"), F.col("run_fa").alias("c"), F.col("threshold").alias("d"))
-    return open_.groupBy("variant").agg(F.min_by("threshold", key).alias("threshold"))
+    key = F.struct((-F.col("run_correct")).alias("a"), F.col("run_misid").alias("b"), F.col("run_fa").alias("c"), F.col("threshold").alias("d"), F.col("margin").alias("e"))
+    return open_.groupBy("variant").agg(F.min_by(F.struct("threshold", "margin"), key).alias("p")).select("variant", "p.*")
 
 
 @query("matrix_experiment")
 def matrix_experiment(t):
     """Every variant calibrated on the validation probes and scored once on the
-    test probes at its frozen threshold."""
+    test probes at its frozen threshold and margin."""
     known = probes(t).filter("status = 'recognized'").select("probe", "expected")
-    a = matrix_attempts(probes(t), templates(t), (1, 3)).join(known, "probe")
+    a = materialize(matrix_attempts(probes(t), templates(t), BUDGETS, seeds=SEEDS).join(known, "probe"), "attempts")
     validation, test = a.filter("probe % 40 = 0"), a.filter("probe % 40 <> 0")
-    points = frozen_points(validation, 0.2)
-    said = F.col("best") <= F.col("threshold")
+    points = frozen_points(validation, 0.2, MARGINS)
+    said = search.accepted(F.col("best"), F.col("second"), F.col("threshold"), F.col("margin"))
     r = test.join(points, "variant").groupBy("variant")
     return r.agg(
-        F.round(F.max("threshold"), 6).alias("threshold"), F.count("*").alias("attempts"), count_if(said & (F.col("candidate") == F.col("expected"))).alias("correct"),
+        F.round(F.max("threshold"), 6).alias("threshold"), F.max("margin").alias("margin"), F.count("*").alias("attempts"), count_if(said & (F.col("candidate") == F.col("expected"))).alias("correct"),
         count_if(said & (F.col("candidate") != F.col("expected"))).alias("misidentified"), count_if(said & F.col("expected").isNull()).alias("false_accepts"),
     )
 

@@ -67,3 +67,15 @@ def test_pairs_of_all_templates_in_blocks(spark, data):
     assert {k: r["pairs"] for k, r in got.items()} == {k: c * (c - 1) // 2 for k, c in n.items()}
     whole = {r["label"]: r for r in QUERIES["template_pairs_all"](spark, data).collect()}
     assert all(plain(got[k][c]) == plain(whole[k][c]) for k in n for c in ("least", "mean", "most"))
+
+
+def test_matrix_has_every_variant_and_margin(spark, data):
+    from gallerist.plans.experiments import frozen_points
+
+    rows = QUERIES["matrix_experiment"](spark, data).collect()
+    heads = {tuple(r["variant"].split("-")[:3]) for r in rows}
+    assert len(rows) == 168 and {h[1] for h in heads} == {"1", "2", "3", "5"} and {h[2] for h in heads if h[0] == "random"} == {"42", "43", "44"}
+    # the unknown one is nearer than the last known one, but has no lead
+    made = [("v", 1, 1, 0.10, 0.30), ("v", None, 2, 0.20, 0.21), ("v", 3, 3, 0.25, 0.40)]
+    frame = spark.createDataFrame(made, "variant string, expected int, candidate int, best double, second double")
+    assert [tuple(r) for r in frozen_points(frame, 0.0, (0.0, 0.02, 0.04)).collect()] == [("v", 0.25, 0.02)]
