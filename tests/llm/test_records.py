@@ -36,7 +36,9 @@ def entry(i, split, image, sha=None, h=None, label=None, session=None, captured=
     return (i, split, "x", "src", image, label, None, None, session, sha * 64 if sha else None, h, None, captured, 7)
 
 
-def test_overlaps(spark):
+@pytest.mark.parametrize("hot", [O.HOT, 0])
+def test_overlaps(spark, monkeypatch, hot):
+    monkeypatch.setattr(O, "HOT", hot)
     h = 0x123456789ABCDEF0
     rows = [
         entry(1, "train", f"desk/{S1}/01.jpg", "a", h, "Ann", S1),
@@ -49,23 +51,80 @@ def test_overlaps(spark):
         entry(8, "test", None, None, None),
         entry(9, None, "a.jpg", "a", h),
         entry(10, "test", f"desk/{S1}/01.jpg", "e", ~h, "Ann", S1),  # the same name, another picture
+        entry(11, "train", f"kiosk/{S2}/07.jpg", None, None),
+        entry(12, "test", f"eval/{S2}/07_copy.png", "f", h ^ 0xF0F),  # the place of one without a hash
+        entry(13, "validation", f"{S2}/07.jpg", None, None),
     ]
     df = spark.createDataFrame(rows + rows[:3], COLS)
     pairs = O.cross_split_overlaps(df)
     got = sorted((r["train_entry"], r["other_entry"]) for r in pairs.collect())
-    assert got == [(1, 2), (1, 3), (1, 4), (7, 2), (7, 4)]
+    assert got == [(1, 2), (1, 3), (1, 4), (7, 2), (7, 4), (11, 12), (11, 13)]
     counts = {(r["split"], r["source"]): (r["pairs"], r["entries"]) for r in O.overlap_counts(pairs).collect()}
-    assert counts == {("test", "src"): (4, 2), ("validation", "src"): (1, 1)}
+    assert counts == {("test", "src"): (5, 3), ("validation", "src"): (2, 2)}
     assert O.cross_split_overlaps(df.limit(0)).count() == 0
 
 
-def test_five_bits_leave_three_chunks():
+def test_near_hashes_keep_chunks_and_cosine():
     rng = random.Random(1)
     for _ in range(300):
         x = 0
         for b in rng.sample(range(64), O.NEAR_BITS):
             x |= 1 << b
-        assert sum((x >> a) & ((1 << w) - 1) == 0 for a, w in O.CHUNKS) >= 3
+        assert sum((x >> a) & ((1 << w) - 1) == 0 for a, w in O.WIDE) >= 3
+    assert sum(w for _, w in O.WIDE) == 64
+    # even if all differing chunks are the rarest and all equal ones the most frequent
+    equal, other = np.ones(O.CHUNKS - O.NEAR_BITS), np.full(O.NEAR_BITS, O.RARE)
+    assert equal.sum() / ((equal**2).sum() + (other**2).sum()) >= O.LEAST_COSINE - 1e-12
+
+
+def scene(rng, n):
+    """Vectors of contexts of ten whose hashes agree in the upper half."""
+    context = np.repeat(np.arange(n), 10)
+    room = np.repeat(rng.integers(0, 1 << 32, n), 10)
+    dhash = (room << 32 | rng.integers(0, 1 << 32, 10 * n)).astype(np.int64)
+    dhash[1::10] = dhash[0::10] ^ 0b1001  # the second is the first, re-encoded
+    left = np.tile(np.arange(10) % 2 == 0, n)
+    kind, hashed = np.full(10 * n, O.HASH), np.ones(10 * n, bool)
+    return O._terms(context, kind, left, dhash, hashed), left, np.full(10 * n, 10)
+
+
+def test_bounds_keep_the_pairs_and_cut_candidates():
+    terms, left, of = scene(np.random.default_rng(0), 200)
+    full = O.array_cosine_join(terms, left, of, O.LEAST_COSINE, prune=False)
+    cut = O.array_cosine_join(terms, left, of, O.LEAST_COSINE)
+    assert [list(x) for x in cut[:2]] == [list(x) for x in full[:2]] and np.allclose(cut[2], full[2])
+    assert full[3] == 200 * 25 and cut[3] < 0.6 * full[3]
+    for row in range(2):
+        assert (cut[0] == 10 * row).sum() >= 1
+
+
+def test_array_join_against_loops():
+    rng = np.random.default_rng(3)
+    terms = rng.integers(-1, 6, (80, 5)) * 10 + np.arange(5)
+    terms[terms < 0] = -1
+    terms[rng.random((80, 5)) < 0.2] = -1
+    left, of = rng.random(80) < 0.5, np.full(80, 80)
+    df = {x: (terms == x).sum() for x in np.unique(terms) if x >= 0}
+    w = [{x: 1 + (O.RARE - 1) * (1 - math.log(df[x]) / math.log(80)) for x in row if x >= 0} for row in terms.tolist()]
+    want = {}
+    for i in np.flatnonzero(left):
+        for j in np.flatnonzero(~left):
+            dot = sum(v * w[j].get(x, 0) for x, v in w[i].items())
+            if dot and (c := dot / math.sqrt(sum(v * v for v in w[i].values()) * sum(v * v for v in w[j].values()))) >= 0.4:
+                want[i, j] = c
+    i, j, c, _ = O.array_cosine_join(terms, left, of, 0.4)
+    got = dict(zip(zip(i, j), c))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_places():
+    from pyspark.sql import Row, functions as F, SparkSession
+
+    spark = SparkSession.getActiveSession()
+    same = ["old/x/kiosk/kios-20260113-004962/IMG_0010.JPG", "kiosk\\KIOS-20260113-004962//img_0010.jpg", "kios-20260113-004962/thumb_IMG_0010 (2).png", "a/kios-20260113-004962/IMG_0010 - Copy.jpeg"]
+    other = ["kiosk/kios-20260113-004962/IMG_0011.JPG", "atrium/2026/03/atri-20260308-002455-f00056.png", None, "", "upload/x.jpg"]
+    rows = [r["k"] for r in spark.createDataFrame([Row(p=x) for x in same + other], "p string").select(O.place_key(F.col("p")).alias("k")).collect()]
+    assert set(rows[:4]) == {"kios-20260113-004962/img_0010"} and rows[4:] == ["kios-20260113-004962/img_0011", "atri-20260308-002455-f00056", None, None, None]
 
 
 def test_summaries_bound_the_rank():
