@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from gallerist.llm import mixing as X
@@ -98,8 +99,70 @@ def test_subjects_on_held_out_documents(spark):
 
 
 def test_sentences():
-    none = frozenset()
-    assert S.sentences_of(None, none) == [] == S.sentences_of("## Remarks\n{\"event\": 1}\n", none)
-    assert len(S.sentences_of("- One two three four. Monday. Five six seven eight!\n[10:03] ana: nine ten eleven twelve", none)) == 3
-    assert S.sentences_of("轨迹在中断之后被重置。经过三帧，状态未确认。", none)[0] == list("轨迹在中断之后被重置")
+    n = S._Numbers()
+    count = lambda text: len(S.parsed(text, n)[1])
+    assert S.parsed(None, n) == S.parsed(" \n ", n) == ([], [], [], []) and count("## Remarks\n{\"event\": 1}\n") == 0
+    assert count("- One two three four. Monday. Five six seven eight!\n[10:03] ana: nine ten eleven twelve") == 3
+    assert S.sentences_of("轨迹在中断之后被重置。经过三帧，状态未确认。")[0] == list("轨迹在中断之后被重置")
     assert S.mended("Ã©tat n'Ã©tait") == "état n'était" and S.mended("état") == "état"
+    assert S.tokens_of("L'Été\U0001d165 naïf") == ["l'ete", "naif"]
+    # a first line without any mark is a header, unless it is all there is
+    assert count("old mill · open draft of the pilot\nOne two three four.") == 1 == count("old mill · open draft of the pilot")
+    # lines without letters don't count
+    assert S.parsed("-----\nOne two three four.\n🙂", n)[2:] == ([0], [S.parsed("one TWO three four", n)[3][0]])
+
+
+def test_sentences_of_batches_against_single_texts():
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["One two three four. Five six seven eight!", "nine ten", "End of the note here.", "## x", ""]) for _ in range(rng.randrange(6))) for _ in range(50)]
+    n = S._Numbers()
+    rows = [S.parsed(t, n) for t in texts]
+    import pyarrow as pa
+
+    first, last = [rng.choice([True, None]) for _ in rows], [rng.choice([True, False, None]) for _ in rows]
+    batch = pa.record_batch([pa.array([r[i] for r in rows], pa.list_(k)) for i, k in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))] + [pa.array(first, pa.bool_()), pa.array(last, pa.bool_())], ["words", "sizes", "places", "lines", "first_out", "last_out"])
+    s = S.opened(batch)
+    want = []
+    for d, (words, sizes, places, lines) in enumerate(rows):
+        at = 0
+        for z, p in zip(sizes, places):
+            if not (first[d] and p == 0 or last[d] and p == len(lines) - 1):
+                want.append((d, words[at : at + z]))
+            at += z
+    starts = s.starts
+    assert [(int(d), s.words[a : a + z].tolist()) for d, a, z in zip(s.doc, starts, s.sizes)] == want
+    half = s.take(np.arange(len(texts)) % 2 == 0)
+    assert [(2 * int(d), half.words[a : a + z].tolist()) for d, a, z in zip(half.doc, half.starts, half.sizes)] == [w for w in want if w[0] % 2 == 0]
+
+
+def test_entropies_are_per_token():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 9, 40)
+    s = S.Sentences(rng.integers(0, 1 << 31, sizes.sum()).astype(np.int32), sizes, np.arange(40) // 4)
+    h = S.hashed(s, S.language_table(rng.random((S.UNI, 2))))
+    m = S.Models(*S.counted(h, rng.random((40, 3)), 2))
+    one, twice = m.entropies(h), S.Hashed(h.lang.repeat(2), *(np.concatenate([np.tile(x[a : a + z], 2) for a, z in zip(s.starts, sizes)]) for x in (h.uni, h.bi)), sizes.repeat(2), h.doc.repeat(2))
+    assert np.allclose(m.entropies(twice)[::2], one, rtol=1e-5)
+    assert np.allclose(m.evidence(h), (one[:, 2:] - one) * sizes[:, None], rtol=1e-5) and (m.evidence(h)[:, 2] == 0).all()
+
+
+@pytest.mark.parametrize("others", [0, 3_000])
+def test_boilerplate_is_told_by_source(spark, others):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    body = lambda: "\n".join(" ".join(word() for _ in range(5)) + "." for _ in range(3))
+    rows = [(i, body() + ("\nEnd of NOTE 🙂." if i % 4 == 0 else ""), "en", "s") for i in range(200)]
+    rows += [(1000 + i, "Copied first line.\nand a second one.", "en", "s") for i in range(30)]  # one text, often
+    rows += [(2000 + i, body(), "en", "big") for i in range(others)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").selectExpr("*", "xxhash64(text) AS text_key")
+    docs = d.select("doc_id", "lang", "source", "text_key", "text").mapInArrow(S._parse, S.PARSED)
+    assert [r["key"] for r in S.boilerplate_lines(docs).collect()] == [S.parsed("end of note", S._Numbers())[3][0]]
+
+
+def test_rare_languages_have_models(spark):
+    rows = [(i, "the gate is open today.", "en", "s") for i in range(900)] + [(1000 + i, "brama jest dzis otwarta.", "pl", "s") for i in range(6)] + [(2000, "x y z w", "qq", "s"), (2001, "x", None, "s")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").selectExpr("*", "xxhash64(text) AS text_key")
+    table = S.language_words(d.select("doc_id", "lang", "source", "text_key", "text").mapInArrow(S._parse, S.PARSED))
+    n = S._Numbers()
+    words = lambda x: np.array([n[w] for w in x.split()]) % S.UNI
+    assert table.shape[1] == 2 and table[words("brama jest")].sum(axis=0).argmax() == 1 and table[words("gate open")].sum(axis=0).argmax() == 0
