@@ -35,38 +35,57 @@ def distances(vectors: np.ndarray) -> np.ndarray:
     return np.clip((1 - unit @ unit.T) / 2, 0, 1)
 
 
+def greedy_order(quality: np.ndarray, budget: int, scores) -> list[int]:
+    """Positions taken one after another: the first by quality, each further
+    one by ``scores(taken)``, the worth of all positions now that ``taken`` is
+    chosen.  Ties go to the higher quality, then to the first position."""
+    closed, order = np.zeros(len(quality), bool), []
+    worth = np.zeros(len(quality))
+    while len(order) < min(budget, len(quality)):
+        worth = np.where(closed, -np.inf, np.round(worth, 12))
+        level = np.flatnonzero(worth == worth.max())
+        order.append(int(level[quality[level].argmax()]))
+        closed[order[-1]] = True
+        worth = scores(order[-1])
+    return order
+
+
 def diverse_order(d: np.ndarray, quality: np.ndarray, budget: int) -> list[int]:
-    """Farthest-point greedy from the best quality; ties by quality, then order."""
-    picked = [int(np.argmax(quality))]
-    near = d[picked[0]].copy()
-    while len(picked) < budget:
-        open_ = [i for i in range(len(quality)) if i not in picked]
-        best = max(open_, key=lambda i: (round(near[i], 12), quality[i], -i))
-        picked.append(best)
-        near = np.minimum(near, d[best])
-    return picked
+    """Farthest point first: worth is the distance to the nearest taken one."""
+    near = np.full(len(quality), np.inf)
+    return greedy_order(quality, budget, lambda taken: np.minimum(near, d[taken], out=near))
+
+
+def middle_of_others(d: np.ndarray) -> np.ndarray:
+    """Median of each row without its own place; 0 for a single row."""
+    n = len(d)
+    if n == 1:
+        return np.zeros(1)
+    ranks = np.sort(np.where(np.eye(n, dtype=bool), np.inf, d), axis=1)
+    return (ranks[:, (n - 2) // 2] + ranks[:, (n - 1) // 2]) / 2
 
 
 def coverage_order(d: np.ndarray, quality: np.ndarray, budget: int) -> list[int]:
-    """Facility-location greedy: every template is a point to cover, weighted by
-    quality, coherence with the rest and inverse density."""
-    n = len(quality)
-    s = np.clip(1 - d / REACH, 0, 1)
-    others = np.array([np.median(np.delete(d[i], i)) if n > 1 else 0.0 for i in range(n)])
-    coherent = np.clip(1 - others / (2 * LIMIT), FLOOR, 1)
-    density = SMOOTH + s.sum(axis=1)
-    w = quality * coherent / density
-    w = w if w.sum() > 0 else coherent / density
-    w = w / w.sum()
-    picked = [int(np.argmax(quality))]
-    covered = s[picked[0]].copy()
-    while len(picked) < budget:
-        gain = (w[:, None] * np.maximum(s - covered[:, None], 0)).sum(axis=0) + BONUS * quality * coherent
-        open_ = [i for i in range(n) if i not in picked]
-        best = max(open_, key=lambda i: (round(gain[i], 12), quality[i], -i))
-        picked.append(best)
-        covered = np.maximum(covered, s[best])
-    return picked
+    """Every template is a point to cover, weighted by quality, coherence with
+    the rest and inverse density; worth is the weight newly covered, plus a
+    bonus.  Taking one changes the worth only through the points it covers
+    better than before, so only their rows are looked at again."""
+    reach = np.clip(1 - d / REACH, 0, 1)
+    coherent = np.clip(1 - middle_of_others(d) / (2 * LIMIT), FLOOR, 1)
+    shares = coherent / (SMOOTH + reach.sum(axis=1))
+    weight = quality * shares if (quality * shares).sum() > 0 else shares
+    weight = weight / weight.sum()
+    covered, worth = np.zeros(len(d)), weight @ reach + BONUS * quality * coherent
+
+    def taken(at: int) -> np.ndarray:
+        rows = np.flatnonzero(reach[at] > covered)
+        new = reach[at, rows]
+        open_before = np.maximum(reach[rows] - covered[rows, None], 0)
+        covered[rows] = new
+        np.subtract(worth, weight[rows] @ (open_before - np.maximum(reach[rows] - new[:, None], 0)), out=worth)
+        return worth
+
+    return greedy_order(quality, budget, taken)
 
 
 def greedy(templates: DataFrame, budget: int, how: str) -> DataFrame:

@@ -99,6 +99,24 @@ def test_selection_greedy():
     assert len(S.coverage_order(d, np.zeros(9), 3)) == 3
 
 
+def test_coverage_against_whole_sums():
+    """Every choice has the largest gain, summed anew over all points."""
+    rng = np.random.default_rng(5)
+    for n, copies in ((1, 1), (2, 1), (12, 1), (9, 3)):
+        v, q = np.repeat(rng.normal(size=(n, 3)), copies, axis=0), np.round(rng.random(n * copies), 1)
+        d, size = S.distances(v), n * copies
+        s = np.clip(1 - d / 0.25, 0, 1)
+        c = np.array([np.clip(1 - (np.median(np.delete(d[i], i)) if size > 1 else 0) / 0.55, 0.25, 1) for i in range(size)])
+        w = q * c / (0.2 + s.sum(axis=1))
+        w = w / w.sum() if w.sum() else c / (0.2 + s.sum(axis=1)) / (c / (0.2 + s.sum(axis=1))).sum()
+        order = S.coverage_order(d, q, 6)
+        assert len(order) == len(set(order)) == min(6, size) and order[0] == int(np.argmax(q))
+        for k in range(1, len(order)):
+            covered = s[order[:k]].max(axis=0)
+            worth = {j: round(sum(w[i] * max(s[i, j] - covered[i], 0) for i in range(size)) + 0.05 * q[j] * c[j], 9) for j in range(size) if j not in order[:k]}
+            assert (worth[order[k]], q[order[k]]) >= max((worth[j], q[j]) for j in worth)
+
+
 def test_greedy_pairs_and_matching(spark):
     assert greedy_pairs([(0.2, 1, 1), (0.1, 1, 2), (0.3, 2, 2)]) == [(0.1, 1, 2)]
     truth = spark.createDataFrame([("v", 0, "s", [0, 0, 10, 10]), ("v", 0, "t", [1, 0, 10, 10]), ("v", 1, "s", [0, 0, 4, 4])], "video string, frame int, subject string, box array<int>")
