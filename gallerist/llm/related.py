@@ -13,6 +13,7 @@ rows different sizes), never components.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,6 @@ from gallerist.functions.text import key_or_null
 from gallerist.operators.components import connected_components
 from gallerist.storage import materialize, with_rank
 
-#: Bits of a subset-sum set at most; larger totals are counted in units.
-MAX_BITS = 1 << 22
-
 
 def record_keys(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(record_id, key)`` of every subject and session that a record names.
@@ -57,57 +55,59 @@ def related_groups(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
     return groups.join(groups.groupBy("group_id").agg(F.count("*").alias("size")), "group_id").select("record_id", "group_id", "size")
 
 
+def reachable(sizes: list[tuple[int, int]], top: int) -> int:
+    """Totals up to ``top`` of choices among (size, multiplicity), as the bits
+    of an integer, by binary splitting of the multiplicities."""
+    bits, mask = 1, (1 << (top + 1)) - 1
+    for size, n in sizes:
+        left, step = min(n, top // size), 1
+        while left > 0:
+            take = min(step, left)
+            bits |= (bits << (take * size)) & mask
+            left, step = left - take, step * 2
+    return bits
+
+
+def _reversed_bits(bits: int, width: int) -> int:
+    """The lowest ``width`` bits in opposite order."""
+    raw = np.frombuffer(bits.to_bytes(width // 8 + 1, "little"), np.uint8)
+    return int.from_bytes(np.packbits(np.unpackbits(raw, bitorder="little")[:width][::-1], bitorder="little").tobytes(), "little")
+
+
+def _counts_for(sizes: list[tuple[int, int]], total: int) -> dict[int, int]:
+    """A choice with exactly ``total``, which is reachable.
+
+    The sizes are halved; a total of one half whose rest the other half
+    reaches is found, and both go on alone.  Only two sets are held at once,
+    and the totals of a level add up to ``total``.
+    """
+    if not total:
+        return {}
+    if len(sizes) == 1:
+        return {sizes[0][0]: total // sizes[0][0]}
+    half = len(sizes) // 2
+    both = reachable(sizes[:half], total) & _reversed_bits(reachable(sizes[half:], total), total + 1)
+    first = (both & -both).bit_length() - 1
+    return _counts_for(sizes[:half], first) | _counts_for(sizes[half:], total - first)
+
+
 def closest_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many components of each size to take so that the total is as close
     to ``target`` as any total can be.
 
-    ``sizes`` maps a size to its multiplicity.  Reachable totals are the bits
-    of one integer per size (binary splitting of the multiplicities), kept up
-    to the first reachable total beyond the target; a tie goes to the smaller
-    total.
+    ``sizes`` maps a size to its multiplicity.  The sets of reachable totals
+    have one bit for each total up to the target and one size beyond, so an
+    eighth of a byte for each record wanted.  A tie goes to the smaller total.
     """
     if target <= 0 or not sizes:
         return {}
-    unit = max(1, (2 * target) // MAX_BITS)
-    order = sorted(sizes, reverse=True)
-    top = target + max(order)
-    mask = (1 << (top // unit + 2)) - 1
-    sets = [1]
-    for size in order:
-        reach, left, step = sets[-1], min(sizes[size], top // size + 1), 1
-        while left > 0:
-            take = min(step, left)
-            reach |= (reach << (max(1, round(take * size / unit)))) & mask
-            left, step = left - take, step * 2
-        sets.append(reach)
-    goal, last = target // unit, sets[-1]
-    best = next(g for d in range(mask.bit_length() + 1) for g in (goal - d, goal + d) if g >= 0 and last >> g & 1)
-    taken: dict[int, int] = {}
-    for k in range(len(order) - 1, -1, -1):
-        size, n = order[k], 0
-        limit, chunks, step = min(sizes[order[k]], top // order[k] + 1), [], 1
-        while limit > 0:
-            chunks.append(min(step, limit))
-            limit, step = limit - min(step, limit), step * 2
-        n = _chunks_for(sets[k], best, chunks, size, unit)
-        best -= sum(max(1, round(c * size / unit)) for c in n)
-        if n:
-            taken[size] = sum(n)
-    return taken
-
-
-def _chunks_for(before: int, best: int, chunks: list[int], size: int, unit: int) -> list[int]:
-    """Chunks of one size that lead from a total reachable before to ``best``."""
-    layers, reach = [before], before
-    for c in chunks:
-        reach |= reach << max(1, round(c * size / unit))
-        layers.append(reach)
-    used = []
-    for c, layer in zip(reversed(chunks), reversed(layers[:-1])):
-        if not layer >> best & 1:
-            best -= max(1, round(c * size / unit))
-            used.append(c)
-    return used
+    every = sorted(sizes.items(), reverse=True)
+    bits = reachable(every, target + every[0][0])
+    below = (bits & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = bits >> (target + 1)
+    beyond = target + (above & -above).bit_length() if above else None
+    best = below if beyond is None or target - below <= beyond - target else beyond
+    return _counts_for(every, best)
 
 
 def related_splits(manifest: DataFrame, pairs: DataFrame, proportions: tuple[tuple[str, float], ...] = (("train", 0.8), ("validation", 0.1), ("test", 0.1))) -> DataFrame:

@@ -192,3 +192,20 @@ def test_closest_counts_against_all_subsets():
         assert all(0 < n <= sizes[s] for s, n in took.items())
         assert abs(sum(s * n for s, n in took.items()) - target) == min(abs(t - target) for t in every)
     assert R.closest_counts({}, 5) == {} and pytest.approx(1) == 1
+
+
+def test_large_totals_are_exact():
+    rng = random.Random(7)
+    for _ in range(6):
+        sizes = {rng.randrange(100_000, 4_000_000): rng.randrange(1, 3) for _ in range(6)} | {3: 2, 50: 1}
+        every = {0}
+        for s, n in sizes.items():
+            every = {t + s * k for t in every for k in range(n + 1)}
+        target = rng.randrange(5_000_000, 9_000_000)
+        total = sum(s * n for s, n in R.closest_counts(sizes, target).items())
+        assert abs(total - target) == min(abs(t - target) for t in every)
+    # many sizes, and one component that is a third of everything
+    sizes = {s: 1 + s % 3 for s in range(1, 400)} | {80_000: 1}
+    for target in (1, 12_345, 100_000):
+        took = R.closest_counts(sizes, target)
+        assert sum(s * n for s, n in took.items()) == target and all(0 < n <= sizes[s] for s, n in took.items())
