@@ -30,8 +30,6 @@ from gallerist.storage import materialize, with_rank
 
 DIMS, BITS = 8, 7
 SPREAD = 4
-#: Strata kept apart at most; smaller ones beyond are one stratum.
-MAX_STRATA = 1_000
 SEED = 515
 
 
@@ -83,21 +81,33 @@ def _keyed(dim: int, keep: list[str]):
     return run
 
 
-def allocate(cells: dict, k: int) -> dict:
-    """Places per stratum: one each, the rest in proportion to the square root
-    of the occupied cells, by largest remainders; never more than ``k``."""
-    names = sorted(cells, key=lambda s: (-cells[s], str(s)))
-    if k <= 0 or not names:
-        return {}
-    if len(names) >= k:
-        return dict.fromkeys(names[:k], 1)
-    weight = {s: math.sqrt(cells[s]) for s in names}
-    whole, spare = sum(weight.values()), k - len(names)
-    exact = {s: spare * weight[s] / whole for s in names}
-    out = {s: 1 + math.floor(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: (math.floor(exact[s]) - exact[s], str(s)))[: k - sum(out.values())]:
-        out[s] += 1
-    return out
+def allocate(strata: DataFrame, k: int) -> DataFrame:
+    """``(stratum, places)`` of ``strata(stratum, cells, n)``, with a total of
+    ``k``, or all records if there are fewer.
+
+    One place each, the rest in proportion to the square root of the occupied
+    cells, by largest remainders; places that a small stratum can't fill go to
+    the others in the same way.  With fewer places than strata those with most
+    cells get one.  However many strata there are, only sums leave the cluster.
+    """
+    now = materialize(strata.select("stratum", "cells", "n", F.lit(0).cast("bigint").alias("places")), "strata")
+    while True:
+        free = F.col("places") < F.col("n")
+        s = now.agg(F.sum("n").alias("n"), F.sum("places").alias("given"), F.count_if(free).alias("free"), F.sum(F.when(free, F.sqrt("cells"))).alias("weight")).first()
+        left = min(k, s["n"] or 0) - (s["given"] or 0)
+        if left <= 0:
+            return now.select("stratum", "places")
+        open_, full = now.filter(free), now.filter(~free)
+        if left <= s["free"]:
+            rank = with_rank(open_.withColumn("less", -F.col("cells")), ["less", "stratum"])
+            now = rank.select("stratum", "cells", "n", (F.col("places") + (F.col("rank") < left).cast("bigint")).alias("places")).unionByName(full)
+        else:
+            exact = F.lit(float(left - s["free"])) * F.sqrt("cells") / F.lit(s["weight"])
+            shared = materialize(open_.withColumn("whole", F.floor(exact)).withColumn("less", F.floor(exact) - exact), "shares")
+            more = left - s["free"] - shared.agg(F.sum("whole")).first()[0]
+            given = F.col("places") + 1 + F.col("whole") + (F.col("rank") < int(more)).cast("bigint")
+            now = with_rank(shared, ["less", "stratum"]).select("stratum", "cells", "n", F.least("n", given).alias("places")).unionByName(full)
+        now = materialize(now, "strata")
 
 
 def varied_subset(samples: DataFrame, strata: DataFrame, share: float | None = None, size: int | None = None, score: Column | None = None, dim: int = DIM) -> DataFrame:
@@ -124,25 +134,10 @@ def varied_subset(samples: DataFrame, strata: DataFrame, share: float | None = N
     bits = next((b for b in range(1, BITS + 1) if seen[f"g{b}"] >= SPREAD * k), BITS)
     rows = keyed.select("id", "score", "stratum", F.shiftrightunsigned("key", DIMS * (BITS - bits)).alias("cell"))
     cells = rows.groupBy("stratum").agg(F.countDistinct("cell").alias("cells"), F.count("*").alias("n"))
-    top = cells.orderBy(F.desc("cells"), "stratum").limit(MAX_STRATA).collect()
-    other = "\x00other"
-    if len(top) == MAX_STRATA:
-        names = [r["stratum"] for r in top if r["stratum"] is not None]
-        rows = rows.withColumn("stratum", F.when(F.col("stratum").isNull() | F.col("stratum").isin(names), F.col("stratum")).otherwise(F.lit(other)))
-        top = rows.groupBy("stratum").agg(F.countDistinct("cell").alias("cells"), F.count("*").alias("n")).collect()
-    room, places = {r["stratum"]: r["n"] for r in top}, {}
-    open_ = {r["stratum"]: r["cells"] for r in top}
-    left = min(k, sum(room.values()))
-    while left and open_:  # places that a small stratum can't fill go to the others
-        for s, n in allocate(open_, left).items():
-            places[s] = min(room[s], places.get(s, 0) + n)
-        left = min(k, sum(room.values())) - sum(places.values())
-        open_ = {s: c for s, c in open_.items() if places.get(s, 0) < room[s]}
-    spark = samples.sparkSession
-    quota = spark.createDataFrame([(s, n) for s, n in places.items() if n] or [(None, 0)], "stratum string, places bigint")
+    quota = allocate(cells, k).filter("places > 0")
     rows = rows.withColumn("order", -F.coalesce("score", F.lit(-1e300)))
     layered = with_rank(rows, ["order", "id"], within=["stratum", "cell"], name="layer")
-    layered = materialize(layered.alias("r").join(F.broadcast(quota).alias("q"), F.col("r.stratum").eqNullSafe(F.col("q.stratum"))).select("r.*", "q.places").filter("layer < places"), "layers")
+    layered = materialize(layered.alias("r").join(quota.alias("q"), F.col("r.stratum").eqNullSafe(F.col("q.stratum"))).select("r.*", "q.places").filter("layer < places"), "layers")
     from pyspark.sql import Window
 
     counts = layered.groupBy("stratum", "layer").agg(F.count("*").alias("n"), F.max("places").alias("places"))
@@ -153,7 +148,7 @@ def varied_subset(samples: DataFrame, strata: DataFrame, share: float | None = N
     ranked = with_rank(kept, ["cell", "id"], within=["stratum", "layer"])
     # rank r of n is chosen if an even step falls on it
     step = F.floor((F.col("rank") + 1) * F.col("take") / F.col("n")) - F.floor(F.col("rank") * F.col("take") / F.col("n"))
-    return ranked.filter(step > 0).select("id", F.when(F.col("stratum") == other, None).otherwise(F.col("stratum")).alias("stratum"), "cell", "score")
+    return ranked.filter(step > 0).select("id", "stratum", "cell", "score")
 
 
 def sample_conditions(manifest: DataFrame) -> DataFrame:

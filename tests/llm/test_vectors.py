@@ -159,6 +159,60 @@ def test_varied_subset(spark):
     assert {r["id"] for r in H.varied_subset(df, strata, size=60, score=F.col("q"), dim=DIM).collect()} == {r["id"] for r in got}
 
 
+def places_by_hand(strata, k):
+    """Places of (name, cells, n) strata, one rule after another."""
+    names = sorted((s for s, _, _ in strata), key=lambda s: (s is not None, s))
+    cells, room, out = {s: c for s, c, _ in strata}, {s: n for s, _, n in strata}, dict.fromkeys(names, 0)
+    while (left := min(k, sum(room.values())) - sum(out.values())) > 0:
+        free = [s for s in names if out[s] < room[s]]
+        if left <= len(free):
+            give = dict.fromkeys(sorted(free, key=lambda s: -cells[s])[:left], 1)
+        else:
+            spare, whole = left - len(free), sum(cells[s] ** 0.5 for s in free)
+            exact = {s: spare * cells[s] ** 0.5 / whole for s in free}
+            give = {s: 1 + int(exact[s]) for s in free}
+            for s in sorted(free, key=lambda s: int(exact[s]) - exact[s])[: left - sum(give.values())]:
+                give[s] += 1
+        for s, n in give.items():
+            out[s] = min(room[s], out[s] + n)
+    return out
+
+
+def test_places_of_many_strata(spark):
+    rng = np.random.default_rng(1)
+    strata = [(None, 50, 70)] + [(f"c{i:04d}", int(c), int(c + e)) for i, (c, e) in enumerate(zip(rng.integers(1, 40, 1_200), rng.integers(0, 9, 1_200)))]
+    df = spark.createDataFrame(strata, "stratum string, cells bigint, n bigint")
+    for k in (0, 7, 1_201, 4_000, 10**6):
+        got = {r["stratum"]: r["places"] for r in H.allocate(df, k).collect()}
+        assert got == places_by_hand(strata, k) and sum(got.values()) == min(k, sum(n for _, _, n in strata))
+    assert H.allocate(df.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("conditions", [999, 1_001])
+def test_every_condition_is_chosen(spark, conditions):
+    v = vectors(conditions + 50, 300, seed=6)
+    df = spark.createDataFrame([(f"s{i:04d}", pack(x)) for i, x in enumerate(v)], "id string, vector binary")
+    strata = spark.createDataFrame([(f"s{i:04d}", f"c{i:04d}") for i in range(conditions)], "id string, stratum string")
+    got = H.varied_subset(df, strata, size=conditions + 20, dim=DIM).collect()
+    assert len(got) == conditions + 20 and {r["stratum"] for r in got} == {None} | {f"c{i:04d}" for i in range(conditions)}
+
+
+def test_subset_covers_more_than_chance(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(80, DIM))
+    group = np.minimum(rng.geometric(0.08, 2_000) - 1, 79)  # a few groups hold most records
+    v = (centres[group] + 0.1 * rng.normal(size=(2_000, DIM))).astype(np.float32)
+    df = spark.createDataFrame([(f"s{i:04d}", pack(x)) for i, x in enumerate(v)], "id string, vector binary")
+    none = spark.createDataFrame([], "id string, stratum string")
+    chosen = [int(r["id"][1:]) for r in H.varied_subset(df, none, size=100, dim=DIM).collect()]
+    far = exact(v)
+    np.fill_diagonal(far, 0)
+    radius = far[:, chosen].min(axis=1)
+    chance = [rng.choice(2_000, 100, replace=False) for _ in range(20)]
+    assert len(set(group[chosen])) > max(len(set(group[c])) for c in chance)
+    assert radius.mean() < min(far[:, c].min(axis=1).mean() for c in chance) and np.bincount(group[chosen]).max() < np.mean([np.bincount(group[c]).max() for c in chance])
+
+
 def test_neighbours_of_every_sample(spark, tmp_path):
     from gallerist.llm import queries as Q
 
