@@ -18,26 +18,20 @@ from gallerist.plans.video import FACES, RUNS, faces
 HALF = "least(1.0, greatest(0.0, (1 - list_inner_product({a}, {b}) / sqrt(list_inner_product({a}, {a}) * list_inner_product({b}, {b}))) / 2))"
 
 
-@query("scalar_batched_difference", "SELECT 0::BIGINT AS different")
+@query("scalar_batched_difference", BASE + "SELECT 0::BIGINT AS different, count(*) AS compared FROM (SELECT DISTINCT probe, identity FROM r)")
 def scalar_batched_difference(t):
-    """Own-person scores computed by column expressions, row by row, against the
-    blocked matrix products: the number of differences beyond 1e-9 (none)."""
-    p = probes(t).select("probe", F.col("expected").alias("identity"), V.wide(F.col("vector")).alias("pv"))
-    g = gallery(t).select("identity", "template", V.wide(F.col("vector")).alias("gv"))
-    d = p.join(g, "identity").select("probe", "identity", V.half_cosine(F.col("pv"), F.col("gv")).alias("d"))
-    near = F.slice(F.array_sort(F.collect_list("d")), 1, 3)
-    scalar = d.groupBy("probe", "identity").agg(near.alias("n")).select("probe", "identity", F.when(F.size("n") == 2, (F.col("n")[0] + F.col("n")[1]) / 2).otherwise(F.element_at("n", F.ceil(F.size("n") / 2).cast("int"))).alias("scalar"))
-    both = search.identity_scores(probes(t), gallery(t)).join(scalar, ["probe", "identity"])
-    return both.agg(count_if(F.abs(F.col("score") - F.col("scalar")) > 1e-9).alias("different"))
-
-
-@query("nearest_templates", BASE + ", n AS (SELECT probe, identity, template, round(d, 6) AS distance, rn AS place FROM r WHERE rn <= 3 AND identity = expected) SELECT * FROM n")
+    """Scores of every probe and identity by column expressions, template after
+    template, against the blocked matrix products: the number of scores that
+    differ by more than 1e-9 (none), and of those compared."""
+    both = search.identity_scores(probes(t), gallery(t)).join(search.scalar_scores(probes(t), gallery(t)), ["probe", "identity"])
+    return both.agg(count_if(F.abs(F.col("score") - F.col("scalar")) > 1e-9).alias("different"), F.count("*").alias("compared"))
+
+
+@query("nearest_templates", BASE + "SELECT probe, identity, template, round(d, 6) AS distance, rn AS place FROM r WHERE rn <= 3")
 def nearest_templates(t):
-    """The three nearest templates of a probe's own person."""
-    p = probes(t).select("probe", F.col("expected").alias("identity"), V.wide(F.col("vector")).alias("pv"))
-    d = p.join(gallery(t).withColumn("gv", V.wide(F.col("vector"))), "identity").select("probe", "identity", "template", V.half_cosine(F.col("pv"), F.col("gv")).alias("d"))
-    r = d.withColumn("place", F.row_number().over(Window.partitionBy("probe", "identity").orderBy("d", "template"))).filter("place <= 3")
-    return r.select("probe", "identity", "template", F.round("d", 6).alias("distance"), F.col("place").cast("bigint").alias("place"))
+    """The three nearest templates of every identity for every probe."""
+    n = search.nearest_per_identity(probes(t), gallery(t), 3)
+    return n.select("probe", "identity", "template", F.round("distance", 6).alias("distance"), F.col("place").cast("bigint").alias("place"))
 
 
 @query("chi_square_neighbours", """WITH h AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS v FROM embeddings), p AS (SELECT a.vec_id AS probe, b.vec_id AS other, list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2) / (z[1] + z[2] + 1e-10))) / 2 / 64 AS d FROM h a JOIN h b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)

@@ -8,6 +8,7 @@ from gallerist.operators import calibration as C
 from gallerist.operators import evaluation as E
 from gallerist.plans.recognition import BASE, MARGIN, SCORES, THRESHOLD, attempts
 from gallerist.plans.registry import query
+from gallerist.storage import exact_quantiles, materialize
 
 ACCEPT = f"best <= {THRESHOLD} AND (second IS NULL OR second - best >= {MARGIN} OR abs(second - best - {MARGIN}) <= 1e-12)"
 RECORDS = SCORES + f", rec AS (SELECT probe, expected, status, CASE WHEN status = 'recognized' AND {ACCEPT} THEN candidate END AS predicted, (probe * 37 % 101) / 4.0 AS ms, CASE probe % 3 WHEN 0 THEN 'glasses' WHEN 1 THEN 'mask' ELSE 'plain' END AS condition FROM a)"
@@ -36,7 +37,9 @@ def records(t):
 @query("record_summary", RECORDS + f"SELECT {COUNTS}, round(quantile_cont(ms, 0.5), 6) AS ms_p50, round(quantile_cont(ms, 0.95), 6) AS ms_p95 FROM rec")
 def record_summary(t):
     """Outcome counts and latency quantiles of all attempts."""
-    return records(t).agg(*E.summary_counts(), F.round(F.percentile("ms", 0.5), 6).alias("ms_p50"), F.round(F.percentile("ms", 0.95), 6).alias("ms_p95"))
+    r = materialize(records(t), "records")
+    q = exact_quantiles(r, "ms", (0.5, 0.95))
+    return r.agg(*E.summary_counts()).join(q.select(F.round(F.col("q")[0], 6).alias("ms_p50"), F.round(F.col("q")[1], 6).alias("ms_p95")), how="left")
 
 
 @query("condition_summary", RECORDS + f"SELECT condition, {COUNTS} FROM rec GROUP BY condition")

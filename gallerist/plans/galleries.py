@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gallerist.functions.names import normalized_name, strip, strip_sql, valid_name
 from gallerist.plans.registry import query
+from gallerist.storage import exact_quantiles
 
 def people(t):
     """Enrolled and archived people, a redelivered row once."""
@@ -152,5 +153,7 @@ def quality_reasons(t):
 SELECT round(quantile_cont(b, 0.25), 6) AS b25, round(quantile_cont(b, 0.5), 6) AS b50, round(quantile_cont(b, 0.75), 6) AS b75,
  round(quantile_cont(f, 0.25), 6) AS f25, round(quantile_cont(f, 0.5), 6) AS f50, round(quantile_cont(f, 0.75), 6) AS f75, count(b) AS n FROM v""")
 def quality_quartiles(t):
-    q = quality(t).agg(F.percentile("b", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("b"), F.percentile("f", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("f"), F.count("b").alias("n"))
-    return q.select(*[F.round(F.col(c)[i], 6).alias(f"{c}{p}") for c in "bf" for i, p in enumerate((25, 50, 75))], "n")
+    rows = quality(t).select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in "bf"])).alias("m")).select("m.c", "m.x")
+    q = exact_quantiles(rows, "x", (0.25, 0.5, 0.75), ["c"])
+    of = lambda c, i: F.round(F.max(F.when(F.col("c") == c, F.col("q")[i])), 6).alias(f"{c}{(25, 50, 75)[i]}")
+    return q.agg(*[of(c, i) for c in "bf" for i in range(3)], F.coalesce(F.max(F.when(F.col("c") == "b", F.col("n"))), F.lit(0)).alias("n"))

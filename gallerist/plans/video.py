@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gallerist.functions import boxes as B
 from gallerist.operators import video as V
 from gallerist.plans.registry import query
+from gallerist.storage import exact_quantiles, materialize
 
 FRAMES = """
 WITH fr AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame) AS ordinal FROM (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY received_at) AS dup FROM video_frames) WHERE dup = 1)
@@ -132,8 +133,9 @@ def timing_by_load(t):
     """Latency and throughput by the number of faces in a frame, and overall."""
     m = frames(t).filter("processing_ms >= 0 AND NOT isnan(processing_ms)").select(V.load_bucket(F.greatest(F.coalesce(F.size("faces"), F.lit(0)), F.lit(0))).alias("load"), F.col("processing_ms").alias("ms"))
     m = m.select(F.explode(F.array("load", F.lit("all"))).alias("load"), "ms")
-    q = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95)))
-    return m.groupBy("load").agg(F.count("*").alias("frames"), q.alias("q"), F.sum("ms").alias("s")).select("load", "frames", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"), F.round(F.col("frames") * 1000 / F.col("s"), 3).alias("fps"))
+    m = materialize(m, "timings")
+    q = exact_quantiles(m, "ms", (0.5, 0.95), ["load"]).select("load", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"))
+    return m.groupBy("load").agg(F.count("*").alias("frames"), F.round(F.count("*") * 1000 / F.sum("ms"), 3).alias("fps")).join(q, "load").select("load", "frames", "p50", "p95", "fps")
 
 
 @query("frame_order_faults", FRAMES + """,
@@ -195,17 +197,13 @@ u AS (SELECT *, CASE WHEN p[3] * p[4] + q[3] * q[4] - inter > 0 THEN inter / (p[
 """
 
 
-@query("association_edges", EDGES + """SELECT video, ordinal, i, j, round(iou, 6) AS iou, round(CASE WHEN centre > 1.5 THEN NULL WHEN d IS NOT NULL AND d <= 0.25 THEN 0.75 * d + 0.25 * (1 - iou) / 2 WHEN d IS NULL AND iou >= 0.3 THEN (1 - iou) / 2 END, 6) AS cost FROM u WHERE iou > 0""")
-def association_edges(t):
-    """Overlapping faces of consecutive frames and the cost of linking them."""
-    return face_pairs(t).filter("iou > 0")
-
-
-@query("association_links", EDGES + """, c AS (SELECT video, ordinal, i, j, round(iou, 6) AS iou, round(CASE WHEN centre > 1.5 THEN NULL WHEN d IS NOT NULL AND d <= 0.25 THEN 0.75 * d + 0.25 * (1 - iou) / 2 WHEN d IS NULL AND iou >= 0.3 THEN (1 - iou) / 2 END, 6) AS cost FROM u)
+@query("association_edges", EDGES + """, c AS (SELECT video, ordinal, i, j, round(iou, 6) AS iou, round(CASE WHEN centre > 1.5 THEN NULL WHEN d IS NOT NULL AND d <= 0.25 THEN 0.75 * d + 0.25 * (1 - iou) / 2 WHEN d IS NULL AND iou >= 0.3 THEN (1 - iou) / 2 END, 6) AS cost FROM u)
 SELECT * FROM c WHERE cost IS NOT NULL""")
-def association_links(t):
+def association_edges(t):
     """Every link between faces of consecutive frames that the rule of
-    association allows, with or without an overlap."""
+    association allows, with or without an overlap.  The exports hold no
+    features, so the later face's distance to the gallery stands in for the
+    distance of the two faces."""
     return face_pairs(t).filter("cost IS NOT NULL")
 
 

@@ -3,7 +3,8 @@
 Every intermediate that has to survive the loss of an executor is written as
 a Parquet table below ``spark.checkpoint.dir`` (the folder all executors
 share) and read back.  A folder of our own is used only where that setting is
-missing, as in tests.
+missing and everything runs in one process; on a cluster its absence is an
+error, as executors would write to their own disks.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder of the session, without a trailing slash."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append(tempfile.mkdtemp(prefix="gallerist-"))
         root = "file://" + _OWN_FOLDER[0]
@@ -83,3 +86,35 @@ def with_rank(df: DataFrame, order: list[str], within: list[str] = (), name: str
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     out = ordered.alias("a").join(cells.alias("b"), on, "inner")
     return out.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("b._offset") + F.col("a._pos") - F.col("b._first")).alias(name))
+
+
+def exact_quantiles(df: DataFrame, value: str, ps: tuple[float, ...], within: list[str] = ()) -> DataFrame:
+    """``(*within, n, q)``: quantiles of ``value`` by linear interpolation, as
+    an array in the order of ``ps``, from global ranks: no group is gathered.
+
+    Nulls and NaN don't count; a group without values has no row.
+    """
+    rows = df.select(*within, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    # equal values are one row with their number, which makes the order total
+    counted = rows.groupBy(*within, "_v").agg(F.count("*").alias("_c"))
+    keys = [*within, "_v"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = materialize(counted.repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id()), "values")
+    from pyspark.sql import Window
+
+    cells = counted.groupBy("_pid", *within).agg(F.sum("_c").alias("_s"))
+    before = Window.partitionBy(*within).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("_pid", *within, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy(*within)).alias("n"))
+    inside = Window.partitionBy("_pid", *within).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on = F.col("a._pid") == F.col("b._pid")
+    for k in within:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    run = counted.withColumn("_run", F.sum("_c").over(inside))
+    placed = run.alias("a").join(cells.alias("b"), on).select(*[F.col(f"a.{k}") for k in within], "_v", "n", (F.col("_run") + F.col("_before")).alias("_last"), "_c")
+    at = lambda place: F.max(F.when((F.col("_last") > place) & (F.col("_last") - F.col("_c") <= place), F.col("_v")))
+    q = []
+    for p in ps:
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        low, part = at(F.floor(place)), F.max(place - F.floor(place))
+        q.append(low + part * (at(F.ceil(place)) - low))
+    return placed.groupBy(*within).agg(F.max("n").alias("n"), F.array(*q).alias("q"))

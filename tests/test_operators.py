@@ -160,3 +160,45 @@ def test_ordinals_over_stretches(spark, monkeypatch):
     df = spark.createDataFrame(frames, "video string, frame int")
     got = {(r["video"], r["frame"]): r["ordinal"] for r in V.frames_once(df).collect()}
     assert got == {("a", f): i for i, f in enumerate((0, 3, 9, 10, 31, 35, 99), 1)} | {("b", 50): 1}
+
+
+def test_search_in_blocks_and_chunks(spark, monkeypatch):
+    """Many blocks of probes and chunks of templates give the rows of one."""
+    rng = np.random.default_rng(6)
+    p = spark.createDataFrame([(i, rng.normal(size=4).tolist(), "x") for i in range(30)] + [(90, None, "x"), (91, [0.0] * 4, "x")], "probe bigint, vector array<double>, identity string")
+    rows = [(f"p{i % 9}", i, rng.normal(size=4).tolist()) for i in range(80)]
+    g = spark.createDataFrame(rows + rows[:9] + [("p0", 99, None)], "identity string, template bigint, vector array<double>")
+    take = lambda: ({(r["probe"], r["identity"]): r["score"] for r in search.identity_scores(p, g).collect()}, sorted(tuple(r) for r in search.nearest_per_identity(p, g, 2).collect()))
+    scores, near = take()
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "CHUNK", 10)
+    monkeypatch.setattr(search, "AT_ONCE", 64)
+    again, near_again = take()
+    assert len(scores) == 270 and scores.keys() == again.keys() and all(abs(scores[k] - again[k]) < 1e-12 for k in scores)
+    assert [r[:3] + r[4:] for r in near] == [r[:3] + r[4:] for r in near_again] and len(near) == 540
+    scalar = {(r["probe"], r["identity"]): r["scalar"] for r in search.scalar_scores(p, g, rows=4).collect()}
+    assert scalar.keys() == scores.keys() and all(abs(scalar[k] - scores[k]) < 1e-9 for k in scores)
+
+
+def test_exact_quantiles(spark):
+    from gallerist.storage import exact_quantiles
+
+    rng = np.random.default_rng(7)
+    rows = [(k, float(x)) for k in ("a", None) for x in rng.integers(0, 20, 101)] + [("b", 3.5), ("c", None), ("c", float("nan"))]
+    got = {r["k"]: r for r in exact_quantiles(spark.createDataFrame(rows, "k string, x double"), "x", (0.0, 0.1, 0.5, 0.95, 1.0), ["k"]).collect()}
+    assert got.keys() == {"a", None, "b"} and got["b"]["q"] == [3.5] * 5
+    for k in ("a", None):
+        want = np.quantile([x for n, x in rows if n == k], (0.0, 0.1, 0.5, 0.95, 1.0))
+        assert got[k]["n"] == 101 and got[k]["q"] == pytest.approx(want.tolist())
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from gallerist.storage import shared_root
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        context = SimpleNamespace(getConf=lambda: conf, master=master)
+        with pytest.raises(RuntimeError):
+            shared_root(SimpleNamespace(sparkContext=context, conf=conf))
