@@ -17,11 +17,13 @@ limit).  ``miss`` is the accuracy parameter.
 A pair missed from one side is mostly found from the other, so both directions
 of every pair compete for the places.
 
-Scale: the split planes are fitted on a bounded sample of projections, every
-row is indexed.  The index is one table in shared storage, partitioned by
-subtree, written with a single shuffle; a search task holds the queries of one
-subtree and reads the subtrees its tests ask for, so no vector is ever sent to
-more than one place.  Groups of more than ``k + 1`` byte-identical vectors,
+Scale: the upper planes are fitted on a bounded sample of projections and cut
+the collection into blocks; every row is indexed, and inside a block the tree
+goes on over the block's own rows, so a leaf stays small at every size.  The
+index is one table in shared storage, one file a block, written with a single
+shuffle; a search task holds the queries of one block and reads the blocks its
+tests ask for, which it finds by going down the upper tree, so no vector is
+ever sent to more than one place.  Groups of more than ``k + 1`` byte-identical vectors,
 however large, are reduced to their ``k + 1`` smallest ids before indexing,
 which is exact, since no other copy can be among anyone's k nearest.
 """
@@ -39,14 +41,13 @@ from pyspark.sql import functions as F
 from gallerist.llm.vectors import DIM, half_cosine, raw_matrix, unit_rows, valid_vectors, vector_facts
 from gallerist.storage import materialize, new_folder
 
-#: Rows of projections, at most, on which the planes are fitted.
-FIT_ROWS = 65_536
-#: Rows that a leaf should hold; levels of the tree at most (the planes are
-#: broadcast: 2^16 doubles at most).
-LEAF_ROWS, MAX_DEPTH = 128, 16
-#: Rows of a block of leaves, about (256 blocks at most, as each search task
-#: may read them all); queries that a task takes at once.
-BLOCK_ROWS, PIECE_ROWS = 6_400, 16_384
+#: Rows of projections, at most, on which the upper planes are fitted, and
+#: upper levels at most (2^14 doubles are broadcast; 16 rows fit each plane).
+FIT_ROWS, MAX_TOP = 262_144, 14
+#: Rows that a leaf should hold; levels of the tree inside a block at most.
+LEAF_ROWS, MAX_LOCAL = 128, 16
+#: Rows of a block, about; queries that a task takes at once.
+BLOCK_ROWS, PIECE_ROWS = 6_400, 8_192
 #: Bytes of index blocks that a worker keeps.
 CACHE_BYTES = 112 << 20
 SEED = 20_240_601
@@ -54,7 +55,8 @@ SLACK = 2e-6
 
 
 def projection(dim: int, depth: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dim, max(depth, 1)))
+    """Random directions as columns; the first ones are the same for every ``depth``."""
+    return np.ascontiguousarray(np.random.default_rng(SEED).standard_normal((max(depth, 1), dim)).T)
 
 
 def upper_chi_square(c: int, x: np.ndarray) -> np.ndarray:
@@ -120,6 +122,25 @@ def gaps(projected: np.ndarray, planes: list[np.ndarray], start=None, node: int
     return g2, c
 
 
+def open_nodes(y: np.ndarray, planes: list[np.ndarray], reach: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks that some query (row of ``y``) at its present distance has to
+    visit: their numbers, squared gaps, separated dimensions, and the least
+    squared distance at which one does.  Subtrees without any are left out on
+    the way down."""
+    nodes = np.zeros(1, np.int64)
+    g2, c, least = np.zeros((len(y), 1), np.float32), np.zeros((len(y), 1), np.int8), np.zeros(1)
+    for level, cut in enumerate(planes):
+        off = (y[:, level][:, None] - cut[nodes][None, :]).astype(np.float32)
+        nodes = np.concatenate([2 * nodes, 2 * nodes + 1])
+        g2 = np.concatenate([g2 + np.square(np.maximum(off, 0)), g2 + np.square(np.minimum(off, 0))], axis=1)
+        c = np.concatenate([c + (off > 0), c + (off <= 0)], axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(g2 > 0, g2 / reach[c], 0)
+        keep = (need <= r2[:, None]).any(axis=0)
+        nodes, g2, c, least = nodes[keep], g2[:, keep], c[:, keep], need[:, keep].min(axis=0)
+    return nodes, g2, c, least
+
+
 class _Blocks:
     """Index blocks of shared storage, decoded, with a bounded cache."""
 
@@ -135,7 +156,8 @@ class _Blocks:
                 self.files.setdefault(block, []).append(info.path)
 
     def get(self, block: int):
-        """ids, leaves, vectors, and one over their norms; by leaf, then id."""
+        """ids, leaves, vectors, one over their norms, and planes of the leaves;
+        by leaf, then id."""
         if block not in self.cache:
             import pyarrow.parquet as pq
 
@@ -147,55 +169,61 @@ class _Blocks:
 
     def _read(self, pq, paths: list[str]):
         if not paths:
-            return np.zeros(0, object), np.zeros(0, np.int64), np.zeros((0, self.dim), np.float32), np.zeros(0, np.float32)
-        got = pa.concat_tables([pq.ParquetFile(self.fs.open_input_file(p)).read(["id", "leaf", "vector"], use_threads=False) for p in sorted(paths)])
+            return np.zeros(0, object), np.zeros(0, np.int64), np.zeros((0, self.dim), np.float32), np.zeros(0, np.float32), []
+        got = pa.concat_tables([pq.ParquetFile(self.fs.open_input_file(p)).read(["id", "vector", "leaf", "planes"], use_threads=False) for p in sorted(paths)])
         _, raw = raw_matrix(got.column("vector"), self.dim)
-        ids, leaves = got.column("id").to_numpy(zero_copy_only=False), got.column("leaf").to_numpy()
-        order = np.lexsort((ids, leaves))
-        ids, leaves, raw = ids[order], leaves[order], raw[order]
-        first = np.ones(len(ids), bool)
-        first[1:] = ids[1:] != ids[:-1]  # a repeated row has the same vector, so the same leaf
-        ids, leaves, raw = ids[first], leaves[first], raw[first]
+        cuts = np.frombuffer(got.column("planes").drop_null()[0].as_py(), "<f8")
+        planes = [cuts[(1 << level) - 1 : (2 << level) - 1] for level in range((len(cuts) + 1).bit_length() - 1)]
         wide = raw.astype(np.float64)
-        return ids, leaves, raw, (1.0 / np.sqrt((wide * wide).sum(axis=1))).astype(np.float32)
+        return got.column("id").to_numpy(zero_copy_only=False), got.column("leaf").to_numpy(), raw, (1.0 / np.sqrt((wide * wide).sum(axis=1))).astype(np.float32), planes
 
 
 _OPEN: dict[str, _Blocks] = {}
 
 
-def _search(path: str, dim: int, planes: list[np.ndarray], shift: int, k: int, limit: float, miss: float):
+def _search(path: str, dim: int, planes: list[np.ndarray], k: int, limit: float, miss: float):
     """mapInArrow body: queries of the blocks named in ``block``."""
-    depth = len(planes)
-    top = depth - shift
-    turn = projection(dim, depth)
-    stop = stop_ratios(depth, miss).astype(np.float32)
+    top = len(planes)
+    turn = projection(dim, top + MAX_LOCAL)
+    stop = stop_ratios(top + MAX_LOCAL, miss).astype(np.float32)
     reach = np.maximum.accumulate(stop[::-1])[::-1]  # the best ratio that a node's leaves can have
     low = 1.0 - 2.0 * limit - SLACK  # cosine at the range limit
 
     def piece(store: _Blocks, block: int, begin: int, end: int):
-        ids, leaves, raw, _ = store.get(block)
+        ids, leaves, raw, _, _ = store.get(block)
         ids, leaves, exact = ids[begin:end], leaves[begin:end], unit_rows(raw[begin:end])
         units, n = exact.astype(np.float32), end - begin
         y = exact @ turn
-        g2, c = gaps(y, planes[:top])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            entry = np.where(g2 > 0, g2 / reach[c], 0).min(axis=0)
         best = np.full((n, k), low, np.float32)  # cosines of the k nearest so far
         kth = best[:, 0].copy()
         r2 = 2.0 - 2.0 * kth
         found, held = [], 0
-        for at in [block, *(int(b) for b in np.argsort(entry, kind="stable") if b != block)]:
-            if at != block and entry[at] > r2.max():
+        nothing = np.zeros((n, 1), np.float32), np.zeros((n, 1), np.int8)
+
+        def order():
+            """The own block, then the others that are still open, nearest first."""
+            yield block, *nothing, 0.0
+            nodes, g2, c, least = open_nodes(y, planes, reach, r2)
+            for i in np.argsort(least, kind="stable"):
+                if nodes[i] != block:
+                    yield int(nodes[i]), g2[:, i : i + 1], c[:, i : i + 1], least[i]
+
+        for at, g2, c, least in order():
+            if least > r2.max():
                 break
-            lg, lc = gaps(y, planes, (g2[:, at : at + 1], c[:, at : at + 1]), at, top)
+            if at != block:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    if not (np.where(g2 > 0, g2 / reach[c], 0)[:, 0] <= r2).any():
+                        continue
+            t_ids, t_leaves, t_raw, t_inv, local = store.get(at)
+            lg, lc = gaps(y[:, top:], local, (g2, c))
             with np.errstate(divide="ignore", invalid="ignore"):
                 need = np.ascontiguousarray(np.where(lg > 0, lg / stop[lc], 0).T)
             if at == block:
-                need[leaves - (block << shift), np.arange(n)] = 0
+                need[leaves, np.arange(n)] = 0
             if not (need <= r2).any():
                 continue
-            t_ids, t_leaves, t_raw, t_inv = store.get(at)
-            bounds = np.searchsorted(t_leaves, np.arange(at << shift, ((at + 1) << shift) + 1))
+            bounds = np.searchsorted(t_leaves, np.arange(len(need) + 1))
             for leaf in np.argsort(need.min(axis=1), kind="stable"):
                 a, b = bounds[leaf], bounds[leaf + 1]
                 if a == b:
@@ -257,7 +285,7 @@ def _still_near(found: list, kth: np.ndarray) -> tuple[list, int]:
     return [(q[keep], np.concatenate([x[1] for x in found])[keep], np.concatenate([x[2] for x in found])[keep], sims[keep])], int(keep.sum())
 
 
-def _place(dim: int, planes: list[np.ndarray], shift: int):
+def _place(dim: int, planes: list[np.ndarray]):
     turn = projection(dim, len(planes))
 
     def run(batches):
@@ -265,8 +293,44 @@ def _place(dim: int, planes: list[np.ndarray], shift: int):
             if not batch.num_rows:
                 continue
             _, raw = raw_matrix(batch.column("vector"), dim)
-            leaf = leaf_of(unit_rows(raw) @ turn, planes) if planes else np.zeros(batch.num_rows, np.int64)
-            yield pa.record_batch([batch.column("id"), batch.column("vector"), pa.array(leaf.astype(np.int32)), pa.array((leaf >> shift).astype(np.int32))], ["id", "vector", "leaf", "block"])
+            block = leaf_of(unit_rows(raw) @ turn, planes) if planes else np.zeros(batch.num_rows, np.int64)
+            yield pa.record_batch([batch.column("id"), batch.column("vector"), pa.array(block.astype(np.int32))], ["id", "vector", "block"])
+
+    return run
+
+
+def _settle(dim: int, top: int, leaf_rows: int):
+    """The rows of each block by leaf of the block's own tree, then id; a
+    repeated row once.  The first row has the planes, level by level."""
+    turn = projection(dim, top + MAX_LOCAL)[:, top:]
+
+    def block_of(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        ids = table.column("id").to_numpy()
+        table = table.take(pa.array(np.unique(ids.astype(str), return_index=True)[1]))  # in the order of ids
+        _, raw = raw_matrix(table.column("vector"), dim)
+        levels = min(MAX_LOCAL, max(0, math.ceil(math.log2(max(len(raw), 1) / leaf_rows))))
+        y = unit_rows(raw) @ turn[:, :levels]
+        planes = fit_planes(y, levels)
+        leaf = leaf_of(y, planes)
+        order = np.argsort(leaf, kind="stable")
+        cuts = np.concatenate([np.zeros(0), *planes]).astype("<f8").tobytes()
+        table = table.take(pa.array(order)).combine_chunks()
+        first = pa.array([cuts] + [None] * (len(order) - 1), pa.binary())
+        return pa.record_batch([table.column("id").combine_chunks(), table.column("vector").combine_chunks(), pa.array(leaf[order].astype(np.int32)), first, table.column("block").combine_chunks()], ["id", "vector", "leaf", "planes", "block"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if held and held[-1].column("block")[0].as_py() != block[a]:
+                    yield block_of(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield block_of(held)
 
     return run
 
@@ -300,22 +364,22 @@ def nearest(samples: DataFrame, k: int = 5, limit: float = 1.0, miss: float = 0.
     answered = None
     if most > k + 1:  # of many identical vectors only the k + 1 smallest ids can be anyone's neighbours
         clean, answered = _reduce_copies(clean, k, limit, dim)
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(rows, 1) / LEAF_ROWS)))) if rows > LEAF_ROWS else 0
+    top = min(MAX_TOP, max(4, math.ceil(math.log2(rows / BLOCK_ROWS)))) if rows > LEAF_ROWS else 0
     planes: list[np.ndarray] = []
-    if depth:
+    if top:
         part = min(1.0, FIT_ROWS / rows)
         some = valid_vectors(samples.sample(fraction=part, seed=SEED), dim, id_col, vector_col, clash=False) if part < 1 else clean
-        y = some.mapInArrow(_project(dim, depth), "y array<float>").limit(2 * FIT_ROWS).toPandas()["y"]
-        planes = fit_planes(np.stack(y.to_list()).astype(np.float64), depth) if len(y) else []
-        depth = len(planes)
-    shift = max(0, depth - min(8, max(4, math.ceil(math.log2(max(rows, 1) / BLOCK_ROWS))))) if depth else 0
+        y = some.mapInArrow(_project(dim, top), "y array<float>").limit(2 * FIT_ROWS).toArrow().column("y").combine_chunks()
+        planes = fit_planes(y.flatten().to_numpy(zero_copy_only=False).reshape(len(y), top).astype(np.float64), top) if len(y) else []
+        top = len(planes)
     path = new_folder(spark, "vectors")
-    blocks = 1 << (depth - shift)
-    placed = clean.mapInArrow(_place(dim, planes, shift), "id string, vector binary, leaf int, block int")
+    blocks = 1 << top
+    placed = clean.mapInArrow(_place(dim, planes), "id string, vector binary, block int")
     parts = min(blocks, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    placed.repartition(parts, "block").write.partitionBy("block").parquet(path)
+    placed = placed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_settle(dim, top, LEAF_ROWS), "id string, vector binary, leaf int, planes binary, block int")
+    placed.write.partitionBy("block").parquet(path)
     tasks = spark.range(0, blocks, 1, blocks).select(F.col("id").cast("int").alias("block"))
-    found = tasks.mapInArrow(_search(path, dim, planes, shift, k, limit, miss), "id string, neighbour string, distance double")
+    found = tasks.mapInArrow(_search(path, dim, planes, k, limit, miss), "id string, neighbour string, distance double")
     # a pair that the test of one side missed is mostly found from the other
     turned = F.array(F.struct("id", "neighbour"), F.struct(F.col("neighbour").alias("id"), F.col("id").alias("neighbour")))
     both = found.select(F.explode(turned).alias("p"), "distance").select("p.id", "p.neighbour", "distance").distinct()

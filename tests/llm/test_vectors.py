@@ -59,6 +59,37 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert hit >= 0.97 * total and total > 500
 
 
+def test_open_blocks_are_those_of_all_gaps():
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(500, 7))
+    planes = K.fit_planes(y, 7)
+    stop = K.stop_ratios(9, 0.01)
+    reach = np.maximum.accumulate(stop[::-1])[::-1]
+    g2, c = K.gaps(y[:20], planes)
+    for size in (1e-4, 0.05, 0.5):
+        r2 = rng.random(20) * size
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(g2 > 0, g2 / reach[c], 0)
+        nodes, g, n, least = K.open_nodes(y[:20], planes, reach, r2)
+        assert sorted(nodes) == list(np.flatnonzero((need <= r2[:, None]).any(axis=0)))
+        assert np.allclose(g, g2[:, nodes], rtol=1e-4) and (n == c[:, nodes]).all() and np.allclose(least, need[:, nodes].min(axis=0), rtol=1e-4)
+    assert len(nodes) < 128
+
+
+def test_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "LEAF_ROWS", 8)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 10)
+    v = vectors(600, 80, seed=2)
+    ids, _, rows = odd_rows(v)
+    got: dict = {}
+    for r in K.nearest(frame(spark, rows), k=5, miss=0.002, dim=DIM).collect():
+        got.setdefault(r["id"], []).append((r["place"], r["neighbour"]))
+    d = exact(v)
+    want = {name: {ids[j] for j in np.argsort(d[i], kind="stable")[:5]} for i, name in enumerate(ids)}
+    assert all(len(x) == 5 for x in got.values()) and got.keys() == want.keys()
+    assert sum(len(want[i] & {n for _, n in got[i]}) for i in want) >= 0.95 * 5 * len(ids)
+
+
 def test_nearest_many_copies_and_empty(spark):
     v = vectors(30, 30)
     rows = [(f"c{i:03d}", pack(v[0])) for i in range(40)] + [(f"x{i}", pack(v[i])) for i in range(1, 30)]
