@@ -66,7 +66,7 @@ def test_open_blocks_are_those_of_all_gaps():
     stop = K.stop_ratios(9, 0.01)
     reach = np.maximum.accumulate(stop[::-1])[::-1]
     g2, c = K.gaps(y[:20], planes)
-    for size in (1e-4, 0.05, 0.5):
+    for size in (0.5, 0.05, 1e-4):
         r2 = rng.random(20) * size
         with np.errstate(divide="ignore", invalid="ignore"):
             need = np.where(g2 > 0, g2 / reach[c], 0)
