@@ -6,7 +6,7 @@ from importlib import import_module
 
 from gallerist.plans import registry
 
-MODULES = ("recognition", "galleries", "evaluation", "video", "leakage", "selection", "experiments", "comparisons", "relational")
+MODULES = ("recognition", "galleries", "evaluation", "video", "leakage", "selection", "experiments", "comparisons", "diagnostics", "relational")
 
 
 def _load() -> None:
