@@ -13,7 +13,7 @@ from gallerist.operators.evaluation import count_if
 from gallerist.plans.evaluation import RECORDS, records, wilson
 from gallerist.plans.recognition import BASE, gallery, probes
 from gallerist.plans.registry import query
-from gallerist.plans.video import FACES, RUNS, faces
+from gallerist.plans.video import FACES, IOU, RUNS, faces
 
 HALF = "least(1.0, greatest(0.0, (1 - list_inner_product({a}, {b}) / sqrt(list_inner_product({a}, {a}) * list_inner_product({b}, {b}))) / 2))"
 
@@ -145,7 +145,12 @@ def frame_coverage(t):
     return e.join(x, "video").select("video", "frames", (F.floor(F.col("top") / F.col("every")) + 1 - F.col("frames")).alias("missing"))
 
 
-@query("greedy_frame_matching")
+@query("greedy_frame_matching", FACES.replace("WITH fr", "WITH RECURSIVE fr") + f""", p AS (SELECT a.video, a.ordinal::INT AS frame, printf('%03d', a.idx) AS subject, b.idx::INT AS idx, {IOU.format(a='a.box', b='b.box')} AS iou FROM fc a JOIN fc b ON b.video = a.video AND b.ordinal = a.ordinal + 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY iou DESC, subject, idx) AS rn FROM p WHERE iou >= 0.5),
+s AS (SELECT *, true AS taken, [subject] AS left_used, [idx] AS right_used FROM e WHERE rn = 1 UNION ALL
+ SELECT video, frame, subject, idx, iou, rn, ok, CASE WHEN ok THEN list_append(left_used, subject) ELSE left_used END, CASE WHEN ok THEN list_append(right_used, idx) ELSE right_used END
+ FROM (SELECT e.*, s.left_used, s.right_used, NOT list_contains(s.left_used, e.subject) AND NOT list_contains(s.right_used, e.idx) AS ok FROM s JOIN e ON e.video = s.video AND e.frame = s.frame AND e.rn = s.rn + 1))
+SELECT video, frame, subject, idx, iou FROM s WHERE taken""")
 def greedy_frame_matching(t):
     """Faces of each frame matched one to one with those of the next analysed
     frame by overlap (greedy; checked against brute force in tests)."""

@@ -185,7 +185,7 @@ def enrollment_minimums(t):
 
 #: Templates of a person among which a combination is sought, and the largest
 #: distance inside one.
-CANDIDATES, CLOSE = 8, 0.35
+CANDIDATES, CLOSE = 8, 0.49
 
 
 @query("first_combinations", BASE + f""", c AS (SELECT identity, template, vector, row_number() OVER (PARTITION BY identity ORDER BY template) AS i FROM gallery),

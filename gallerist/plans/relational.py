@@ -68,7 +68,9 @@ def document_digests(t):
     return t("documents").filter("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("digest")).agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc")).filter("documents > 1")
 
 
-@query("debounced_events")
+@query("debounced_events", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT *, true AS kept, us AS last FROM e WHERE rn = 1 UNION ALL SELECT e.*, e.us - s.last >= 800000, CASE WHEN e.us - s.last >= 800000 THEN e.us ELSE s.last END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+SELECT user_id, event_id, us FROM s WHERE kept""")
 def debounced_events(t):
     """Events of a user at least 0.8 seconds after the last kept one: depends
     on what was kept, so it is a scan with state over sorted rows."""

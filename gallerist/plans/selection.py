@@ -64,7 +64,7 @@ def selection_experiment(t):
     return best.join(known, "probe").groupBy("variant").agg(F.count("*").alias("probes"), F.count_if(F.col("said") == F.col("expected")).alias("correct"))
 
 
-@query("synthetic_gallery")
+@query("synthetic_gallery", "SELECT i AS identity, [1, 2, 3, 5, 8][i % 5 + 1]::BIGINT AS templates, 1.0::DOUBLE AS least_norm, 1.0::DOUBLE AS most_norm FROM range(100) r(i)")
 def synthetic_gallery(t):
     """Seeded unit vectors of a synthetic gallery, summarised by profile."""
     from gallerist.sources.synthetic import gallery as made

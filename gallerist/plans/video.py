@@ -43,7 +43,12 @@ def stable_votes(t):
     return V.votes(V.track_runs(faces(t))).select("video", "track_id", "frame", "key", F.col("n").cast("bigint").alias("n"), F.col("votes").cast("bigint").alias("votes"), "stable")
 
 
-@query("vote_outcomes", None)
+@query("vote_outcomes", RUNS + """,
+k AS (SELECT *, CASE WHEN single_state = 'known' THEN coalesce(single_name, '__unknown__') ELSE '__unknown__' END AS key FROM runs WHERE vote),
+w AS (SELECT *, list({'k': key, 'd': single_distance}) OVER (PARTITION BY video, track_id, run ORDER BY ordinal ROWS 6 PRECEDING) AS seen, lag(key) OVER (PARTITION BY video, track_id, run ORDER BY ordinal) AS last_key FROM k),
+c AS (SELECT *, list_filter(list_transform(list_filter(seen, lambda e: e.k = key), lambda e: e.d), lambda d: d IS NOT NULL) AS ds, coalesce(len(seen) >= 4 AND len(list_filter(seen, lambda e: e.k = key)) / len(seen) >= 0.6 AND last_key = key, false) AS stable FROM w),
+m AS (SELECT *, list_aggregate(ds, 'median') AS middle FROM c), off AS (SELECT *, list_transform(ds, lambda d: round(abs(d - middle), 12)) AS off FROM m)
+SELECT video, count(*) AS votes, count(*) FILTER (WHERE stable) AS stable, count(*) FILTER (WHERE stable AND key <> '__unknown__') AS stable_known, round(avg(CASE WHEN stable THEN ds[list_position(off, list_min(off))] END), 6) AS mean_distance FROM off GROUP BY 1""")
 def vote_outcomes(t):
     """Per video: stable frames by outcome and the mean representative distance."""
     v = V.votes(V.track_runs(faces(t)))
@@ -229,7 +234,14 @@ def continuity(t):
     return rows.select("video", "track_id", "frame", F.coalesce((gap <= 0.9) & (gap > 0) & (over >= 0.25), F.lit(False)).alias("continues"))
 
 
-@query("suppressed_boxes", None)
+IOU = "(greatest(0, least({a}[1] + {a}[3], {b}[1] + {b}[3]) - greatest({a}[1], {b}[1])) * greatest(0, least({a}[2] + {a}[4], {b}[2] + {b}[4]) - greatest({a}[2], {b}[2])))"
+IOU = "coalesce(" + IOU + "::DOUBLE / nullif({a}[3] * {a}[4] + {b}[3] * {b}[4] - " + IOU + ", 0), 0)"
+
+
+@query("suppressed_boxes", FACES.replace("WITH fr", "WITH RECURSIVE fr") + f""", b AS (SELECT video, frame, idx::INT AS idx, box, row_number() OVER (PARTITION BY video, frame ORDER BY box[3] * box[4] DESC, idx) AS rn FROM fc),
+s AS (SELECT video, frame, rn, idx, true AS keep, [box] AS kept FROM b WHERE rn = 1 UNION ALL
+ SELECT video, frame, rn, idx, ok, CASE WHEN ok THEN list_append(kept, box) ELSE kept END FROM (SELECT b.video, b.frame, b.rn, b.idx, b.box, s.kept, len(list_filter(s.kept, lambda k: {IOU.format(a='k', b='b.box')} >= 0.35)) = 0 AS ok FROM s JOIN b ON b.video = s.video AND b.frame = s.frame AND b.rn = s.rn + 1))
+SELECT video, frame, idx FROM s WHERE keep""")
 def suppressed_boxes(t):
     """Boxes that survive non-maximum suppression."""
     return V.suppress(faces(t).select("video", "frame", "idx", "box"))
