@@ -27,10 +27,11 @@ def _fold_udf(col: pd.Series) -> pd.Series:
 
 def folded(col: Column | str) -> Column:
     """Compatibility-composed, case-folded text without blanks, control and
-    invisible characters.  Null stays null.  Plain lower-case ASCII, the usual
-    case, is answered without leaving the JVM row (the expression is only
-    evaluated once per row either way)."""
-    return _fold_udf(col)
+    invisible characters.  Null stays null.  Printable ASCII, the usual case,
+    is folded by built-in functions; Python gets a null in its place."""
+    c = F.col(col) if isinstance(col, str) else col
+    plain = c.rlike(r"^[\x20-\x7e]*$")
+    return F.when(plain, F.lower(F.regexp_replace(c, " +", ""))).otherwise(_fold_udf(F.when(~plain, c)))
 
 
 def key_or_null(col: Column | str) -> Column:

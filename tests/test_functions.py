@@ -61,3 +61,11 @@ def test_folded(spark):
     got = [r["k"] for r in spark.createDataFrame(rows, "n string").select(key_or_null("n").alias("k")).collect()]
     assert got == ["abc", "strasse", "strasse", None, None, None]
     assert one(spark, folded(F.lit("-"))) == "-"
+
+
+def test_folding_with_and_without_python(spark):
+    from gallerist.functions.text import _fold, folded
+
+    texts = [None, "", " ", "A b-C", "Ünï \u200bCode", "ＡＮＮ", "straße", "tab\there", "x\ny", "~!@", "\x00a", "İ", "K"]
+    got = [r["f"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(folded("t").alias("f")).collect()]
+    assert got == [None if t is None else _fold(t) for t in texts]
