@@ -13,6 +13,8 @@ FROM r LEFT JOIN e ON e.video = r.video GROUP BY ALL
 ORACLES: dict[str, str] = {
     # summaries of up to 2,000 values are exact, and at the tables' test size every group is
     "p4_percentiles": _P4,
+    "p4_bounds": "SELECT video, day, metric, n, true AS within FROM (" + _P4 + ")",
+    "p6_split_check": "SELECT count(*) AS records, 0::BIGINT AS broken_groups FROM (SELECT entry_id FROM manifest UNION SELECT pair_id FROM pair_manifest) WHERE entry_id IS NOT NULL",
     "p7_round_trip": "SELECT DISTINCT doc_id, true AS same FROM documents",
 }
 

@@ -227,14 +227,15 @@ def frame_measures(frames: DataFrame) -> DataFrame:
     return m.filter("value >= 0 AND NOT isnan(value) AND value < double('infinity')").sortWithinPartitions("video", "day", "metric", "_slice")
 
 
-def frame_summaries(frames: DataFrame, exports: DataFrame, error: float = 0.001) -> DataFrame:
+def frame_summaries(frames: DataFrame, exports: DataFrame, error: float = 0.001, size: int | None = None) -> DataFrame:
     """Day summaries ``(video, engine, day, metric, n, v, low, high)``.
 
     ``error`` bounds the rank error as a share of n over all levels of merges.
-    A video without an export row has a null engine.
+    With ``size`` a summary has so many tuples at most instead.  A video
+    without an export row has a null engine.
     """
     slices = int(frames.agg(F.max("frame")).first()[0] or 0) // STRETCH + 1
-    size = _size(slices, error)
+    size = size or _size(slices, error)
     keys = ["video", "day", "metric"]
     parts = merge_summaries(summaries(frame_measures(frames), [*keys, "_slice"], size), keys, size, slices)
     engine = exports.groupBy("video").agg(F.min("engine").alias("engine"))
@@ -252,3 +253,20 @@ def combined(summary: DataFrame, keys: list[str], error: float = 0.001) -> DataF
     slices = FAN_IN**3
     parts = materialize(summary, "summaries").withColumn("_slice", F.pmod(F.xxhash64("video", "day"), F.lit(slices)).cast("int"))
     return merge_summaries(parts.select(*keys, "_slice", "n", "v", "low", "high"), keys, _size(slices, error), slices)
+
+
+def rank_errors(answers: DataFrame, measures: DataFrame, percentiles: dict[str, float], keys: list[str]) -> DataFrame:
+    """``(*keys, n, most_error, within)``: how many ranks the percentile columns
+    of ``answers`` are off the exact ones of ``measures(*keys, value)`` at most,
+    and whether ``max_rank_error`` bounds that.  Only counts are taken, so it is
+    as distributed as the answers."""
+    on = [F.col(f"m.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+    joined = measures.alias("m").join(answers.alias("a"), on)
+    counts = [F.count_if(F.col("value") < F.col(c)).alias(f"{c}_below") for c in percentiles] + [F.count_if(F.col("value") <= F.col(c)).alias(f"{c}_to") for c in percentiles]
+    g = joined.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.max("n").alias("n"), F.max("max_rank_error").alias("bound"), *counts)
+    off = []
+    for c, p in percentiles.items():
+        rank = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n") - 1e-9))
+        off.append(F.greatest(F.lit(0), F.col(f"{c}_below") + 1 - rank, rank - F.col(f"{c}_to")))
+    most = F.greatest(*off) if len(off) > 1 else off[0]
+    return g.select(*keys, "n", most.alias("most_error"), (most <= F.col("bound")).alias("within"))

@@ -77,6 +77,16 @@ def p4_engine_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return percentile_columns(combined(days, ["engine", "metric"]), (0.5, 0.9, 0.95, 0.99))
 
 
+def p4_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries of 64 tuples only: are all percentiles of every group within
+    the rank error that was tracked?"""
+    from gallerist.llm.quantiles import frame_measures, frame_summaries, percentile_columns, rank_errors
+
+    frames, keys = table(spark, folder, "video_frames"), ["video", "day", "metric"]
+    answers = percentile_columns(frame_summaries(frames, table(spark, folder, "video_exports"), size=64), (0.5, 0.9, 0.95, 0.99))
+    return rank_errors(answers, frame_measures(frames), {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, keys).select(*keys, "n", "within")
+
+
 def p5_subset(spark: SparkSession, folder: str) -> DataFrame:
     """A twentieth of the valid samples, spread over vectors and conditions."""
     from gallerist.llm.hilbert import sample_conditions, sample_score, varied_subset
@@ -98,6 +108,13 @@ def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
     return related_splits(table(spark, folder, "manifest"), table(spark, folder, "pair_manifest"))
 
 
+def p6_split_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with a split, and groups whose records are in several (none)."""
+    splits = p6_splits(spark, folder)
+    per = splits.groupBy("group_id").agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"))
+    return per.agg(F.sum("n").alias("records"), F.count_if(F.col("splits") > 1).alias("broken_groups"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     from gallerist.llm.tokens import encode_corpus
 

@@ -7,9 +7,11 @@ a chunk may be wrong, as it may begin inside a pre-token, but once a boundary
 coincides with a right one of the chunk before, all later ones are right too,
 because a pre-token depends on the text from its own start only.  So the
 chunks are stitched at the first boundary on which both agree, and the pieces
-between these boundaries are encoded independently.  Where no boundary agrees
-(a pre-token longer than the overlap) the rest of the text becomes one piece,
-which is always right.  Decoding concatenates the bytes of the ids.
+between these boundaries are encoded independently.  A text with a chunk where
+no boundary agrees (a pre-token longer than the overlap) is cut in the order
+of its chunks instead, each time going on from the last right boundary, so it
+needs no more memory than a chunk or its longest pre-token.  Decoding
+concatenates the bytes of the ids.
 
 Only boundaries after a character that is not white space serve as stitches:
 how a run of blanks is cut depends on what follows it.
@@ -94,6 +96,36 @@ def _ends(chunk: int, overlap: int, path: str):
     return run
 
 
+def _in_order(chunk: int, path: str):
+    """Pieces of texts from their chunks in order: what is left after the last
+    boundary that is certain begins the next piece."""
+
+    def run(batches):
+        now, left, n, tried = None, "", 0, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
+                if doc != now:
+                    if left:
+                        out.append((now, n, left))
+                    now, left, n, tried = doc, "", 0, 0
+                left += body[:chunk]
+                if len(left) < 2 * tried:
+                    continue  # inside a very long pre-token: looked at again when it has doubled
+                ends = boundaries(path, left, 0)
+                ends = ends[ends < len(left) - 1]  # a match at the very end may be cut short
+                if len(ends):
+                    out.append((now, n, left[: ends[-1]]))
+                    left, n, tried = left[ends[-1] :], n + 1, 0
+                else:
+                    tried = len(left)
+            yield pa.record_batch([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string()))], ["doc_id", "k", "text"])
+        if left:
+            yield pa.record_batch([pa.array([now], pa.int64()), pa.array([n], pa.int32()), pa.array([left])], ["doc_id", "k", "text"])
+
+    return run
+
+
 def _encode(path: str):
     def run(batches):
         for batch in batches:
@@ -125,20 +157,17 @@ def encode_corpus(documents: DataFrame, model: str = MODEL, folder: str = TOKENI
     before = ends.select("doc_id", (F.col("k") + 1).alias("k"), "tail")
     agreed = F.array_min(F.array_intersect("head", "before.tail"))
     stitch = ends.alias("own").join(before.alias("before"), ["doc_id", "k"], "left").select("doc_id", "k", F.when(F.col("k") == 0, 0).otherwise(agreed).alias("cut"))
-    # from a chunk without a stitch on, nothing is known to be right: that rest of the text is one piece
-    order = Window.partitionBy("doc_id").orderBy("k")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stitch = stitch.select("doc_id", "k", F.when(F.min(F.col("cut").isNotNull()).over(so_far), F.col("cut")).alias("cut"))
-    piece = F.last(F.when(F.col("cut").isNotNull(), F.col("k")), ignorenulls=True).over(order)
-    following = F.lead("cut").over(order)
-    plan = stitch.select("doc_id", "k", "cut", piece.alias("piece"), following.alias("next"), F.lead("k").over(order).alias("next_k"))
+    stitch = materialize(stitch, "stitches")
+    gaps = stitch.filter("cut IS NULL").select("doc_id").distinct()
+    plan = stitch.join(gaps, "doc_id", "left_anti").withColumn("next", F.lead("cut").over(Window.partitionBy("doc_id").orderBy("k")))
     parts = chunks.join(plan, ["doc_id", "k"])
-    begin = F.coalesce(F.col("cut"), F.col("start")) - F.col("start")
-    until = F.when(F.col("next").isNotNull(), F.col("next")).when(F.col("next_k").isNotNull(), F.col("start") + chunk)
-    text = F.when(until.isNull(), F.substr("body", (begin + 1).cast("int"))).otherwise(F.substr("body", (begin + 1).cast("int"), (until - F.col("start") - begin).cast("int")))
-    pieces = parts.select("doc_id", "piece", "k", text.alias("text")).groupBy("doc_id", "piece")
-    pieces = pieces.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"))
-    coded = pieces.select("doc_id", F.col("piece").alias("k"), "text").mapInArrow(_encode(path), "doc_id bigint, k int, ids array<int>")
+    begin = F.col("cut") - F.col("start")
+    length = F.when(F.col("next").isNull(), F.char_length("body")).otherwise(F.col("next") - F.col("cut"))  # up to the next stitch, or the end
+    begin = F.when(F.col("k") == 0, 0).otherwise(begin)
+    pieces = parts.select("doc_id", "k", F.substr("body", (begin + 1).cast("int"), length.cast("int")).alias("text"))
+    sequel = chunks.join(gaps, "doc_id", "left_semi").select("doc_id", "k", "body").repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "k")
+    pieces = pieces.unionByName(sequel.select("doc_id", "body").mapInArrow(_in_order(chunk, path), "doc_id bigint, k int, text string"))
+    coded = pieces.mapInArrow(_encode(path), "doc_id bigint, k int, ids array<int>")
     joined = coded.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return whole.unionByName(joined)
 

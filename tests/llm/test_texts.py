@@ -35,6 +35,19 @@ def test_encoding_equals_whole_texts(spark):
     assert T.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_pieces_go_on_after_a_long_pre_token():
+    import pyarrow as pa
+
+    text = "one two " + "x" * 3000 + " three four five six seven" * 40 + "  " * 300 + "end"
+    chunks = [text[i : i + 100] for i in range(0, len(text), 100)]
+    batches = [pa.record_batch([pa.array([7] * len(c)), pa.array(c)], ["doc_id", "body"]) for c in (chunks[:11], chunks[11:])]
+    got = [r for b in T._in_order(100, PATH)(iter(batches)) for r in b.to_pylist()]
+    assert "".join(r["text"] for r in got) == text and [r["k"] for r in got] == list(range(len(got)))
+    assert sum(len(r["text"]) > 700 for r in got) == 1  # only the long pre-token
+    tok = T.tokenizer(PATH)
+    assert sum((tok.encode(r["text"], add_special_tokens=False).ids for r in got), []) == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_mixture_meets_targets(spark):
     rng = random.Random(1)
     word = lambda n: " ".join(rng.choice(["face", "gate", "lens", "door"]) for _ in range(n))
