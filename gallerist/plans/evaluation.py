@@ -31,7 +31,7 @@ def records(t):
 
     ok = (F.col("status") == "recognized") & accepted(F.col("best"), F.col("second"), THRESHOLD, MARGIN)
     condition = F.when(F.col("probe") % 3 == 0, "glasses").when(F.col("probe") % 3 == 1, "mask").otherwise("plain")
-    return attempts(t).select("probe", "expected", "status", F.when(ok, F.col("candidate")).alias("predicted"), (F.col("probe") * 37 % 101 / 4.0).alias("ms"), condition.alias("condition"))
+    return attempts(t).select("probe", "expected", "status", F.when(ok, F.col("candidate")).alias("predicted"), (F.col("probe") * 37 % 101 / 4.0).alias("ms"), condition.alias("condition"), "candidate")
 
 
 @query("record_summary", RECORDS + f"SELECT {COUNTS}, round(quantile_cont(ms, 0.5), 6) AS ms_p50, round(quantile_cont(ms, 0.95), 6) AS ms_p95 FROM rec")
@@ -53,7 +53,7 @@ SELECT attempts, {wilson('dir', 'known_correct', 'known_attempts')}, {wilson('fp
 def identification_report(t):
     """Detection-and-identification rate, false positive rates over all and
     over usable unknown probes, closed-set top-1, with Wilson intervals."""
-    r = records(t).join(attempts(t).select("probe", "candidate"), "probe")
+    r = records(t)
     c = r.agg(*E.summary_counts(), E.count_if((F.col("status") == "recognized") & (F.col("candidate") == F.col("expected"))).alias("top1"), E.count_if((F.col("status") == "recognized") & F.col("expected").isNotNull()).alias("known_usable"))
     out = [F.col("attempts")]
     for name, k, n in (("dir", "known_correct", "known_attempts"), ("fpir_all", "unknown_false_accepts", "unknown_attempts"), ("fpir_usable", "unknown_false_accepts", "unknown_usable")):

@@ -58,9 +58,10 @@ def digest_duplicates(t):
 @query("digest_leaks", M + "SELECT a.split AS split_a, b.split AS split_b, count(*) AS pairs FROM m a JOIN m b ON a.sha256 = b.sha256 AND a.split < b.split GROUP BY 1, 2")
 def digest_leaks(t):
     """Pairs of entries of different splits with the same digest."""
-    m = manifest(t, "split", "sha256").select("entry_id", "split", "sha256")
-    a, b = m.alias("a"), m.alias("b")
-    return a.join(b, (F.col("a.sha256") == F.col("b.sha256")) & split_pair()).groupBy(F.col("a.split").alias("split_a"), F.col("b.split").alias("split_b")).agg(F.count("*").alias("pairs"))
+    g = manifest(t, "split", "sha256").filter("sha256 IS NOT NULL").groupBy("sha256", "split").agg(F.count("*").alias("n"))
+    a, b = g.alias("a"), g.alias("b")  # counts meet instead of rows
+    pairs_of = a.join(b, (F.col("a.sha256") == F.col("b.sha256")) & (F.col("a.split") < F.col("b.split")))
+    return pairs_of.groupBy(F.col("a.split").alias("split_a"), F.col("b.split").alias("split_b")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("pairs"))
 
 
 @query("subject_leaks", M + "SELECT lower(trim(coalesce(label, subject_id))) AS subject, count(DISTINCT split) AS splits, count(*) AS entries FROM m WHERE coalesce(label, subject_id) IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1")
@@ -79,12 +80,20 @@ def session_leaks(t):
 @query("near_duplicate_warnings", M + """, s AS (SELECT entry_id, split, lower(trim(coalesce(label, subject_id))) AS subject, dhash64 FROM m WHERE dhash64 IS NOT NULL)
 SELECT a.entry_id AS entry_a, b.entry_id AS entry_b, a.subject, bit_count(xor(a.dhash64, b.dhash64))::INT AS bits FROM s a JOIN s b ON a.subject = b.subject AND a.split < b.split WHERE bit_count(xor(a.dhash64, b.dhash64)) <= 4""")
 def near_duplicate_warnings(t):
-    """Same subject, different split, difference hashes within four bits: an
-    equi-join on the subject with a Hamming condition."""
-    s = manifest(t, "split", "label", "subject_id", "dhash64").filter("dhash64 IS NOT NULL").select("entry_id", "split", F.lower(strip(F.coalesce("label", "subject_id"))).alias("subject"), "dhash64")
-    bits = F.bit_count(F.col("a.dhash64").bitwiseXOR(F.col("b.dhash64")))
-    j = s.alias("a").join(s.alias("b"), (F.col("a.subject") == F.col("b.subject")) & (F.col("a.split") < F.col("b.split")) & (bits <= 4))
-    return j.select(F.col("a.entry_id").alias("entry_a"), F.col("b.entry_id").alias("entry_b"), "a.subject", bits.alias("bits"))
+    """Same subject, different split, difference hashes within four bits.  Of
+    eight chunks four stay equal, so two entries meet under a subject and an
+    equal pair of chunks (16 bits), not under the subject alone, and are
+    reported by the first pair they share."""
+    s = manifest(t, "split", "label", "subject_id", "dhash64").filter("dhash64 IS NOT NULL").select("entry_id", "split", F.lower(strip(F.coalesce("label", "subject_id"))).alias("subject"), "dhash64").filter("subject IS NOT NULL")
+    masks = [(0xFF << (8 * i)) | (0xFF << (8 * j)) for i in range(8) for j in range(i)]
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    s = s.select("*", F.posexplode(masks).alias("slot", "mask")).withColumn("part", F.col("dhash64").bitwiseAND(F.col("mask")))
+    differ = F.col("a.dhash64").bitwiseXOR(F.col("b.dhash64"))
+    bits = F.bit_count(differ)
+    j = s.alias("a").join(s.alias("b"), (F.col("a.subject") == F.col("b.subject")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.split") < F.col("b.split")) & (bits <= 4))
+    first = F.array_min(F.filter(F.transform(masks, lambda m, i: F.struct(i.alias("i"), (m.bitwiseAND(F.col("x")) == 0).alias("same"))), lambda e: e["same"]))["i"]
+    j = j.select(F.col("a.entry_id").alias("entry_a"), F.col("b.entry_id").alias("entry_b"), "a.subject", bits.alias("bits"), "a.slot", differ.alias("x"))
+    return j.filter(F.col("slot") == first).select("entry_a", "entry_b", "subject", "bits")
 
 
 @query("split_overlap_labels", M + "SELECT DISTINCT lower(trim(label)) AS label FROM m WHERE split = 'train' AND label IS NOT NULL INTERSECT SELECT DISTINCT lower(trim(label)) FROM m WHERE split = 'test' AND label IS NOT NULL")

@@ -7,6 +7,7 @@ import os
 import shutil
 import time
 import uuid
+import warnings
 from contextlib import contextmanager
 from datetime import datetime, timezone
 from pathlib import Path
@@ -18,7 +19,7 @@ from gallerist.functions.names import name_key, normalized_name, valid_name
 
 PEOPLE = "id string, name string, name_key string, created_at string, active int"
 SAMPLES = "id string, person_id string, vector array<double>, quality string, created_at string"
-ARCHIVES = "id string, people array<string>, restored int"
+ARCHIVES = "id string, person_id string, restored int"
 
 
 def write_json_once(path: str | Path, value) -> None:
@@ -59,9 +60,31 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def log_events(df: DataFrame, path: str) -> None:
-    """Append ``(event, ...)`` rows with a time stamp as JSON lines."""
-    df.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"), "*").write.mode("append").json(path)
+def log_events(df: DataFrame, path: str) -> bool:
+    """Append ``(event, ...)`` rows with a time stamp as JSON lines.  A log that
+    can't be written is warned of and doesn't stop the caller."""
+    try:
+        df.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"), "*").write.mode("append").json(path)
+    except Exception as e:
+        warnings.warn(f"events were not logged: {type(e).__name__}", RuntimeWarning, stacklevel=2)
+        return False
+    return True
+
+
+def write_video_exports(exports: DataFrame, frames: DataFrame, path: str) -> None:
+    """Exports as JSON lines, a file for each video: its metadata, its frames
+    in order, and a summary.  An existing path is refused; a redelivered frame
+    is written once, and frames of videos without metadata are left out."""
+    meta = exports.filter("video IS NOT NULL").dropDuplicates(["video"])
+    once = frames.filter("frame IS NOT NULL").dropDuplicates(["video", "frame"]).join(meta.select("video"), "video", "left_semi")
+    ends = meta.select("video").join(once.groupBy("video").agg(F.count("*").alias("n")), "video", "left")
+    line = lambda kind, *cols: F.to_json(F.struct(F.lit(kind).alias("type"), *cols)).alias("value")
+    rows = meta.select("video", F.lit(-1).cast("bigint").alias("at"), line("metadata", *[c for c in meta.columns if c != "type"]))
+    rows = rows.unionByName(once.select("video", F.col("frame").cast("bigint").alias("at"), line("frame", "frame", "timestamp", "processing_ms", "faces")))
+    last = line("summary", "video", F.coalesce("n", F.lit(0)).alias("analyzed_frames"))
+    rows = rows.unionByName(ends.select("video", F.lit((1 << 63) - 1).alias("at"), last))
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(parts, "video").sortWithinPartitions("video", "at").select("video", "value").write.mode("errorifexists").partitionBy("video").text(path)
 
 
 class Journal:
@@ -85,16 +108,17 @@ class Journal:
 
     def __exit__(self, kind, error, _) -> None:
         if kind is not None:
-            self.mark("failed", error=f"{kind.__name__}: {error}")
+            self.mark("failed", error=kind.__name__)  # the text of an error may hold private names
 
 
 class Gallery:
     """People, samples and archives as immutable numbered versions.
 
-    A change reads the current version, writes the next one whole, and moves
-    the pointer by creating the file of that number, which fails if another
-    writer was first.  The revision is the version's number.  There is one
-    winner per version, but no merging of concurrent changes.
+    A version lists the folders that make up each table.  A change writes only
+    what is new, or the tables it changes, lists that, and moves the pointer by
+    creating the file of the next number, which fails if another writer was
+    first.  The revision is the version's number.  There is one winner per
+    version, but no merging of concurrent changes.
     """
 
     def __init__(self, spark: SparkSession, folder: str, signature: str, dimension: int):
@@ -112,22 +136,30 @@ class Gallery:
     def revision(self) -> int:
         return max(int(p.stem) for p in (self.folder / "commits").glob("*.json"))
 
+    def _folders(self, revision: int) -> dict[str, list[str]]:
+        return json.loads((self.folder / "commits" / f"{revision}.json").read_text())
+
     def read(self, name: str, revision: int | None = None) -> DataFrame:
-        r = self.revision if revision is None else revision
-        where = json.loads((self.folder / "commits" / f"{r}.json").read_text())["folder"]
-        return self.spark.read.schema({"people": PEOPLE, "samples": SAMPLES, "archives": ARCHIVES}[name]).parquet(str(self.folder / where / name))
+        where = self._folders(self.revision if revision is None else revision)[name]
+        return self.spark.read.schema({"people": PEOPLE, "samples": SAMPLES, "archives": ARCHIVES}[name]).parquet(*[str(self.folder / w) for w in where])
 
-    def _commit(self, revision: int, tables: dict[str, DataFrame]) -> int:
-        where = f"data/{revision}-{uuid.uuid4().hex}"
+    def _commit(self, revision: int, tables: dict[str, DataFrame], kept: dict[str, list[str]] | None = None) -> int:
+        """Write ``tables`` behind the folders that are ``kept``."""
+        where = {n: list(w) for n, w in (kept or {}).items()}
         for name, df in tables.items():
-            df.write.parquet(str(self.folder / where / name))
+            folder = f"data/{revision}-{name}-{uuid.uuid4().hex}"
+            df.write.parquet(str(self.folder / folder))
+            where.setdefault(name, []).append(folder)
         (self.folder / "commits").mkdir(exist_ok=True)
-        write_json_once(self.folder / "commits" / f"{revision}.json", {"folder": where})
+        write_json_once(self.folder / "commits" / f"{revision}.json", where)
         return revision
 
-    def _next(self, **changed: DataFrame) -> int:
+    def _next(self, new: dict[str, DataFrame] | None = None, whole: dict[str, DataFrame] | None = None) -> int:
+        """The next version, with ``new`` rows behind those of some tables and
+        some tables ``whole``."""
         r = self.revision
-        return self._commit(r + 1, {n: changed.get(n, self.read(n)) for n in ("people", "samples", "archives")})
+        kept = {n: w for n, w in self._folders(r).items() if n not in (whole or {})}
+        return self._commit(r + 1, (whole or {}) | (new or {}), kept)
 
     def add(self, new: DataFrame) -> int:
         """Append ``new(name, vector, quality)``: names resolve to active people
@@ -139,15 +171,14 @@ class Gallery:
         bad = rows.filter(~F.coalesce(F.col("ok") & valid_vector(F.col("vector"), self.dimension), F.lit(False)))
         if not bad.isEmpty():
             raise ValueError("a name or vector is not valid; nothing was added")
-        people = self.read("people")
-        live = people.filter("active = 1").select("name_key", F.col("id").alias("known"))
+        live = self.read("people").filter("active = 1").select("name_key", F.col("id").alias("known"))
         found = rows.join(live, "name_key", "left")
         made = F.sha2(F.concat_ws("|", F.lit(now), F.lit(time.time_ns()), "name_key"), 256).substr(1, 32)
         found = found.withColumn("person_id", F.coalesce("known", made))
         created = found.filter("known IS NULL").groupBy("person_id", "name_key").agg(F.min("name").alias("name"))
-        people = people.unionByName(created.select(F.col("person_id").alias("id"), "name", "name_key", F.lit(now).alias("created_at"), F.lit(1).alias("active")))
-        samples = self.read("samples").unionByName(found.select(F.expr("replace(uuid(), '-', '')").alias("id"), "person_id", "vector", "quality", F.lit(now).alias("created_at")))
-        return self._next(people=people, samples=samples)
+        people = created.select(F.col("person_id").alias("id"), "name", "name_key", F.lit(now).alias("created_at"), F.lit(1).alias("active"))
+        samples = found.select(F.expr("replace(uuid(), '-', '')").alias("id"), "person_id", "vector", "quality", F.lit(now).alias("created_at"))
+        return self._next(new={"people": people, "samples": samples})
 
     def archive(self, person_id: str | None = None) -> str:
         """Deactivate one person, or all; returns the archive's id."""
@@ -157,15 +188,15 @@ class Gallery:
         if hit.isEmpty():
             raise KeyError(person_id)
         name = uuid.uuid4().hex
-        entry = hit.agg(F.sort_array(F.collect_list("id")).alias("people")).select(F.lit(name).alias("id"), "people", F.lit(0).alias("restored"))
-        self._next(people=people.withColumn("active", F.when(gone, F.lit(0)).otherwise(F.col("active"))), archives=self.read("archives").unionByName(entry))
+        entry = hit.select(F.lit(name).alias("id"), F.col("id").alias("person_id"), F.lit(0).alias("restored"))
+        self._next(new={"archives": entry}, whole={"people": people.withColumn("active", F.when(gone, F.lit(0)).otherwise(F.col("active")))})
         return name
 
     def restore(self, archive_id: str) -> int:
         """Reactivate an archive once; a name in use stops it."""
         archives, people = self.read("archives"), self.read("people")
         mine = archives.filter((F.col("id") == archive_id) & (F.col("restored") == 0))
-        back = mine.select(F.explode("people").alias("id"))
+        back = mine.select(F.col("person_id").alias("id"))
         if back.isEmpty():
             raise KeyError(archive_id)
         keys = people.join(back, "id", "left_semi").select("name_key")
@@ -174,7 +205,7 @@ class Gallery:
         ids = back.withColumn("b", F.lit(1))
         people = people.join(ids, "id", "left").withColumn("active", F.when(F.col("b") == 1, F.lit(1)).otherwise(F.col("active"))).drop("b")
         archives = archives.withColumn("restored", F.when(F.col("id") == archive_id, F.lit(1)).otherwise(F.col("restored")))
-        return self._next(people=people, archives=archives)
+        return self._next(whole={"people": people, "archives": archives})
 
     def scan(self) -> DataFrame:
         """Active templates in the order of name key, person and sample."""

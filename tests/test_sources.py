@@ -100,6 +100,45 @@ def test_json_once_journal_and_log(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["n", "event"]
 
 
+def test_event_log_never_stops_the_caller(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    df = spark.createDataFrame([("start", 1)], "event string, n int")
+    with pytest.warns(RuntimeWarning):
+        assert sinks.log_events(df, str(tmp_path / "file" / "log")) is False
+    assert sinks.log_events(df, str(tmp_path / "log")) is True
+
+
+def test_journal_keeps_no_error_text(tmp_path):
+    with pytest.raises(KeyError), sinks.Journal(tmp_path / "j"):
+        raise KeyError("Ann Lee")
+    assert "KeyError" in (tmp_path / "j" / "failed.json").read_text() and "Ann" not in (tmp_path / "j" / "failed.json").read_text()
+
+
+def test_video_exports_round_trip(spark, data, tmp_path):
+    exports, frames = (spark.read.parquet(f"{data}/video_{n}.parquet") for n in ("exports", "frames"))
+    fine = frames.filter("timestamp >= 0 AND NOT isnan(timestamp) AND processing_ms >= 0")
+    sinks.write_video_exports(exports, fine, str(tmp_path / "out"))
+    rows = files.video_export(spark, str(tmp_path / "out" / "*"))
+    kinds = {r["type"]: r["n"] for r in rows.groupBy("type").agg(F.count("*").alias("n")).collect()}
+    videos = exports.select("video").distinct().count()
+    assert kinds == {"metadata": videos, "summary": videos, "frame": fine.select("video", "frame").distinct().count()}
+    assert rows.filter("type = 'summary'").agg(F.sum("analyzed_frames")).first()[0] == kinds["frame"]
+    assert files.video_faults(rows).filter("fault IN ('metadata', 'summary', 'frame twice', 'state', 'box')").count() == 0
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_video_exports(exports, fine, str(tmp_path / "out"))
+
+
+def test_adding_rewrites_nothing(spark, tmp_path):
+    g = sinks.Gallery(spark, str(tmp_path / "g"), "sig", 2)
+    new = spark.createDataFrame([("Ann", [1.0, 0.0], None)], "name string, vector array<double>, quality string")
+    g.add(new)
+    before = g._folders(1)
+    g.add(new)
+    after = g._folders(2)
+    assert all(after[n][: len(w)] == w for n, w in before.items()) and after["archives"] == before["archives"]
+    assert g.read("samples").count() == 2 and g.read("samples", 1).count() == 1 and g.read("people").count() == 1
+
+
 def test_gallery_store(spark, tmp_path):
     g = sinks.Gallery(spark, str(tmp_path / "g"), "sig", 2)
     new = spark.createDataFrame([(" Ann  Lee ", [1.0, 0.0], "{}"), ("ann lee", [0.0, 1.0], None), ("Weiß", [1.0, 1.0], None), ("WEISS", [1.0, 1.0], None)], "name string, vector array<double>, quality string")
