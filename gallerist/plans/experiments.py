@@ -5,13 +5,13 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gallerist.operators import search
 from gallerist.operators import selection as S
 from gallerist.operators.evaluation import count_if, rate
-from gallerist.plans.recognition import gallery, probes
+from gallerist.plans.recognition import BASE, gallery, probes
 from gallerist.plans.registry import query
 from gallerist.plans.selection import templates
 from gallerist.storage import materialize
@@ -41,9 +41,11 @@ def matrix_attempts(all_probes: DataFrame, all_templates: DataFrame, budgets: tu
     scores = search.identity_scores(all_probes.select("probe", "vector"), keyed, aggregations)
     who = F.from_json("identity", "v string, identity int")
     rows = scores.select("probe", "score", F.concat_ws("-", who["v"], "strategy", "k").alias("variant"), who["identity"].alias("identity"))
-    two = F.slice(F.array_sort(F.collect_list(F.struct("score", "identity"))), 1, 2)
-    best = rows.groupBy("variant", "probe").agg(two.alias("b"))
-    return best.select("variant", "probe", F.col("b")[0]["identity"].alias("candidate"), F.col("b")[0]["score"].alias("best"), F.get("b", F.lit(1))["score"].alias("second"))
+    # only the two best identities of a probe are kept on the way
+    place = F.row_number().over(Window.partitionBy("variant", "probe").orderBy("score", "identity"))
+    two = rows.withColumn("place", place).filter("place <= 2")
+    at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
+    return two.groupBy("variant", "probe").agg(at(1, "identity").alias("candidate"), at(1, "score").alias("best"), at(2, "score").alias("second"))
 
 
 def frozen_points(validation: DataFrame, target: float, margins: tuple[float, ...] = (0.0,)) -> DataFrame:
@@ -81,7 +83,12 @@ def matrix_experiment(t):
     )
 
 
-@query("verification_experiment")
+@query("verification_experiment", BASE + """, p AS (SELECT probe, round(d, 9) AS distance, coalesce(identity = expected, false) AS genuine FROM d),
+e AS (SELECT distance, count(*) FILTER (WHERE genuine) AS g, count(*) FILTER (WHERE NOT genuine) AS i FROM p WHERE probe % 40 = 0 GROUP BY 1 UNION ALL SELECT 0, 0, 0),
+c AS (SELECT distance, sum(g) OVER w AS ta, sum(i) OVER w AS fa, sum(i) OVER () AS impostors FROM (SELECT distance, sum(g) AS g, sum(i) AS i FROM e GROUP BY 1) WINDOW w AS (ORDER BY distance)),
+h AS (SELECT distance AS threshold FROM c WHERE fa / impostors <= 0.05 ORDER BY ta DESC, fa, distance LIMIT 1),
+v AS (SELECT threshold, count(*) FILTER (WHERE genuine AND distance <= threshold) AS ta, count(*) FILTER (WHERE genuine) AS genuine, count(*) FILTER (WHERE NOT genuine AND distance <= threshold) AS fa, count(*) FILTER (WHERE NOT genuine) AS impostor FROM p CROSS JOIN h WHERE probe % 40 <> 0 GROUP BY 1)
+SELECT round(threshold, 6) AS threshold, ta, genuine, round(ta / genuine, 6) AS tar, fa, impostor, round(fa / impostor, 6) AS far FROM v""")
 def verification_experiment(t):
     """One-to-one verification: the distance is calibrated on the pairs of the
     validation probes and counted on those of the test probes."""
