@@ -96,32 +96,37 @@ def _ends(chunk: int, overlap: int, path: str):
     return run
 
 
-def _in_order(chunk: int, path: str):
-    """Pieces of texts from their chunks in order: what is left after the last
-    boundary that is certain begins the next piece."""
+def pieces_in_order(rows, chunk: int, path: str):
+    """Pieces (document, number, text) of the texts whose chunks come in order:
+    what is left after the last boundary that is certain begins the next piece."""
+    now, left, n, tried = None, "", 0, 0
+    for doc, body in rows:
+        if doc != now:
+            if left:
+                yield now, n, left
+            now, left, n, tried = doc, "", 0, 0
+        left += body[:chunk]
+        if len(left) < 2 * tried:
+            continue  # inside a very long pre-token: looked at again when it has doubled
+        ends = boundaries(path, left, 0)
+        ends = ends[ends < len(left) - 1]  # a match at the very end may be cut short
+        if len(ends):
+            yield now, n, left[: ends[-1]]
+            left, n, tried = left[ends[-1] :], n + 1, 0
+        else:
+            tried = len(left)
+    if left:
+        yield now, n, left
+
+
+def _encode_in_order(chunk: int, path: str):
+    """Pieces are cut and encoded by one worker, which has one tokenizer."""
 
     def run(batches):
-        now, left, n, tried = None, "", 0, 0
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
-                if doc != now:
-                    if left:
-                        out.append((now, n, left))
-                    now, left, n, tried = doc, "", 0, 0
-                left += body[:chunk]
-                if len(left) < 2 * tried:
-                    continue  # inside a very long pre-token: looked at again when it has doubled
-                ends = boundaries(path, left, 0)
-                ends = ends[ends < len(left) - 1]  # a match at the very end may be cut short
-                if len(ends):
-                    out.append((now, n, left[: ends[-1]]))
-                    left, n, tried = left[ends[-1] :], n + 1, 0
-                else:
-                    tried = len(left)
-            yield pa.record_batch([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string()))], ["doc_id", "k", "text"])
-        if left:
-            yield pa.record_batch([pa.array([now], pa.int64()), pa.array([n], pa.int32()), pa.array([left])], ["doc_id", "k", "text"])
+        rows = ((d, b) for batch in batches for d, b in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()))
+        for doc, n, text in pieces_in_order(rows, chunk, path):
+            ids = tokenizer(path).encode(text, add_special_tokens=False).ids
+            yield pa.record_batch([pa.array([doc], pa.int64()), pa.array([n], pa.int32()), pa.array([np.asarray(ids, np.int32)], pa.list_(pa.int32()))], ["doc_id", "k", "ids"])
 
     return run
 
@@ -166,8 +171,8 @@ def encode_corpus(documents: DataFrame, model: str = MODEL, folder: str = TOKENI
     begin = F.when(F.col("k") == 0, 0).otherwise(begin)
     pieces = parts.select("doc_id", "k", F.substr("body", (begin + 1).cast("int"), length.cast("int")).alias("text"))
     sequel = chunks.join(gaps, "doc_id", "left_semi").select("doc_id", "k", "body").repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "k")
-    pieces = pieces.unionByName(sequel.select("doc_id", "body").mapInArrow(_in_order(chunk, path), "doc_id bigint, k int, text string"))
-    coded = pieces.mapInArrow(_encode(path), "doc_id bigint, k int, ids array<int>")
+    schema = "doc_id bigint, k int, ids array<int>"
+    coded = pieces.mapInArrow(_encode(path), schema).unionByName(sequel.select("doc_id", "body").mapInArrow(_encode_in_order(chunk, path), schema))
     joined = coded.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return whole.unionByName(joined)
 

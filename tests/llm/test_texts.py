@@ -36,12 +36,11 @@ def test_encoding_equals_whole_texts(spark):
 
 
 def test_pieces_go_on_after_a_long_pre_token():
-    import pyarrow as pa
-
     text = "one two " + "x" * 3000 + " three four five six seven" * 40 + "  " * 300 + "end"
-    chunks = [text[i : i + 100] for i in range(0, len(text), 100)]
-    batches = [pa.record_batch([pa.array([7] * len(c)), pa.array(c)], ["doc_id", "body"]) for c in (chunks[:11], chunks[11:])]
-    got = [r for b in T._in_order(100, PATH)(iter(batches)) for r in b.to_pylist()]
+    chunks = [text[i : i + 150] for i in range(0, len(text), 100)]
+    got = list(T.pieces_in_order([(7, c) for c in chunks] + [(8, "a b"), (9, "c")], 100, PATH))
+    assert "".join(x for d, _, x in got if d == 8) == "a b" and got[-1] == (9, 0, "c")
+    got = [{"k": n, "text": x} for d, n, x in got if d == 7]
     assert "".join(r["text"] for r in got) == text and [r["k"] for r in got] == list(range(len(got)))
     assert sum(len(r["text"]) > 700 for r in got) == 1  # only the long pre-token
     tok = T.tokenizer(PATH)
