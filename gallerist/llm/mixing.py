@@ -84,9 +84,11 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, mo
     wanted = targets.select(source_key("source").alias("key"), "source", F.col("target_weight").cast("double").alias("weight"), "max_repeats").filter("key IS NOT NULL AND weight > 0 AND NOT isnan(weight) AND max_repeats >= 1")
     wanted = {r["key"]: r for r in wanted.groupBy("key").agg(F.min(F.struct("source", "weight", "max_repeats")).alias("r")).select("key", "r.*").collect()}
     known = spark.createDataFrame([(k, r["source"], int(r["max_repeats"])) for k, r in sorted(wanted.items())], "key string, source string, most int")
-    # only documents of listed sources are encoded; a repeated one has its first source
-    docs = documents.select("doc_id", source_key("source").alias("key")).groupBy("doc_id").agg(F.min("key").alias("key"))
-    listed = documents.select("doc_id", "text", source_key("source").alias("key")).join(F.broadcast(known.select("key")), "key", "left_semi")
+    # spellings of the listed sources, so that texts are never sent to Python for their source's sake
+    spellings = documents.select("source").distinct().select(F.col("source").alias("_source"), source_key("source").alias("key")).join(F.broadcast(known.select("key")), "key", "left_semi")
+    spellings = materialize(spellings, "spellings")
+    listed = documents.select("doc_id", "text", "source").join(spellings, F.col("source") == F.col("_source")).select("doc_id", "text", "key")
+    docs = listed.groupBy("doc_id").agg(F.min("key").alias("key"))  # a repeated document has its first source
     sized = token_counts(listed, model, folder).join(docs, "doc_id").join(F.broadcast(known), "key").filter("tokens > 0")
     sized = materialize(sized.select("doc_id", "key", "source", "most", F.col("tokens").cast("bigint").alias("tokens")), "sized")
     sizes = materialize(sized.groupBy("key", F.col("tokens").cast("double").alias("t")).agg(F.count("*").cast("double").alias("n")), "sizes")
