@@ -80,3 +80,28 @@ def test_matrix_has_every_variant_and_margin(spark, data):
     made = [("v", 1, 1, 0.10, 0.30), ("v", None, 2, 0.20, 0.21), ("v", 3, 3, 0.25, 0.40)]
     frame = spark.createDataFrame(made, "variant string, expected int, candidate int, best double, second double")
     assert [tuple(r) for r in frozen_points(frame, 0.0, (0.0, 0.02, 0.04)).collect()] == [("v", 0.25, 0.02)]
+
+
+def test_near_duplicates_without_broadcast(spark):
+    import random
+
+    from gallerist.plans.leakage import near_duplicate_warnings
+
+    draw, rows = random.Random(5), []
+    for n in range(200):  # one subject; hashes that differ in up to six bits
+        h = draw.getrandbits(64)
+        for split, flips in (("train", 0), ("test", n % 7)):
+            x = h
+            for bit in draw.sample(range(64), flips):
+                x ^= 1 << bit
+            rows.append((len(rows), split, "A", None, x - (1 << 64) if x >> 63 else x))
+    frame = spark.createDataFrame(rows, "entry_id bigint, split string, label string, subject_id string, dhash64 bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        found = near_duplicate_warnings(lambda _: frame)
+        got = {(r["entry_a"], r["entry_b"]): r["bits"] for r in found.collect()}
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    differ = {(b[0], a[0]): bin((a[4] ^ b[4]) & (1 << 64) - 1).count("1") for a in rows if a[1] == "train" for b in rows if b[1] == "test"}
+    assert got == {k: n for k, n in differ.items() if n <= 4}
