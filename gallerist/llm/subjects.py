@@ -14,9 +14,10 @@ deal with, or one in a text of up to three.
 
 Counts are kept in hashed tables of fixed size (``UNI`` words, ``BI`` pairs,
 for each class), so that what is broadcast and collected is bounded whatever
-the corpus.  The labelled documents used for fitting are bounded by
-``FIT_DOCS``; the lines that are greeting, header or footer and the words of
-the languages are found in all documents, and all are classified whole.
+the corpus.  The models and levels come from all labelled documents, whole,
+which are counted where they lie, round by round; the lines that are greeting,
+header or footer and the words of the languages are found in all documents,
+and all are classified whole.
 
 Scale: texts are parsed once, into numbers of words by sentence, which are
 written to shared storage; what follows works on arrays of whole batches.
@@ -39,7 +40,8 @@ from gallerist.functions.text import folded
 from gallerist.storage import materialize
 
 UNI, BI = 1 << 16, 1 << 18
-FIT_DOCS, FIT_WORDS = 20_000, 2_000
+#: Rows of the tables of words and pairs that are summed by one task at once.
+SLICE = 1 << 14
 #: Interpolation: shares of class and all text for words; of the class's pairs,
 #: all pairs and words for pairs.
 WORD, PAIR = (0.5, 0.5), (0.1, 0.1, 0.8)
@@ -370,45 +372,183 @@ def counted(s: Hashed, weights: np.ndarray, languages: int) -> tuple[np.ndarray,
     return uni, bi, totals
 
 
-def excess_start(s: Hashed, labels: np.ndarray, languages: int) -> Models:
-    """First models: what documents of an area have beyond the others.
+def excess(own: np.ndarray, exposure: np.ndarray) -> np.ndarray:
+    """What documents of an area have beyond the others, of one language.
 
-    In each language, the counts of an area are those of its documents, less
-    what is expected from the rate in labelled documents without that area and
-    its chance variation; the background has the rest.  ``labels`` is a mask
-    (documents x subjects).
+    ``own`` counts words or pairs (rows) in the documents of each area and, in
+    the last column, in all labelled ones; ``exposure`` has the column sums.
+    An area has its counts less what is expected from the rate in labelled
+    documents without that area and its chance variation; the background, in
+    the last column, has the rest.
     """
-    classes = labels.shape[1] + 1
-    out = [np.zeros((UNI, classes), np.float32), np.zeros((BI, classes), np.float32), np.zeros((languages, classes), np.float32)]
-    whole_docs = np.concatenate([labels, np.ones((len(labels), 1), bool)], axis=1)  # in the last class: all documents
-    for lang in np.unique(s.lang):
-        weights = whole_docs[s.doc].astype(float) * (s.lang == lang)[:, None]
-        by = counted(s, weights, languages)
-        exposure = by[2][lang]
-        if not exposure[-1]:
-            continue
-        for k in (0, 1):
-            area, whole = by[k][:, :-1], by[k][:, -1:]
-            share = exposure[:-1] / np.maximum(exposure[-1] - exposure[:-1], 1.0)
-            expected = (whole - area) * share
-            excess = np.maximum(0.0, area - expected - np.sqrt(expected))
-            excess = excess / np.maximum(1.0, excess.sum(axis=1, keepdims=True) / np.maximum(whole, 1e-9))
-            out[k][:, :-1] += excess
-            out[k][:, -1] += whole[:, 0] - excess.sum(axis=1)
-            if k == 0:
-                out[2][lang, :-1] = excess.sum(axis=0)
-                out[2][lang, -1] = exposure[-1] - excess.sum()
-    return Models(*out)
-
-
-def fit_labelled(s: Hashed, labels: np.ndarray, languages: int, heats: tuple[float, ...] = HEATS) -> Models:
-    """Models of labelled documents; ``labels`` is a mask (documents x subjects)."""
-    models = excess_start(s, labels, languages)
-    classes = labels.shape[1] + 1
-    prior = np.where(np.concatenate([labels, np.ones((len(labels), 1), bool)], axis=1), 1.0, MISTAKE / classes)
-    for heat in heats if len(s.sizes) else ():
-        models = Models(*counted(s, posteriors(models.evidence(s), s.doc, prior, False, heat), languages))
-    return models
+    if not exposure[-1]:
+        return np.zeros_like(own)
+    area, whole = own[:, :-1], own[:, -1:]
+    expected = (whole - area) * (exposure[:-1] / np.maximum(exposure[-1] - exposure[:-1], 1.0))
+    out = np.maximum(0.0, area - expected - np.sqrt(np.maximum(expected, 0.0)))
+    out = out / np.maximum(1.0, out.sum(axis=1, keepdims=True) / np.maximum(whole, 1e-9))
+    return np.concatenate([out, whole - out.sum(axis=1, keepdims=True)], axis=1)
+
+
+PARTS = "lang int, slice int, fold int, blob binary"
+
+
+def _parts(lang: int, fold: int, table: np.ndarray, totals: bool):
+    """Batches with the rows of a table that are not zero, slice by slice;
+    ``totals`` have slice -1."""
+    some = np.flatnonzero(table.any(axis=1))
+    out: list[tuple[int, bytes]] = []
+    for k in np.unique(some // SLICE).tolist():
+        at = some[some // SLICE == k]
+        out.append((-1 if totals else k, at.astype("<i4").tobytes() + table[at].astype("<f4").tobytes()))
+    n = len(out)
+    yield pa.record_batch([pa.array([lang] * n, pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([fold] * n, pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["lang", "slice", "fold", "blob"])
+
+
+def _add(table: np.ndarray, blob: bytes, first: int = 0) -> None:
+    """Add the rows that ``blob`` has of a table beginning at row ``first``."""
+    n = len(blob) // (4 + 4 * table.shape[1])
+    table[np.frombuffer(blob[: 4 * n], "<i4") - first] += np.frombuffer(blob[4 * n :], "<f4").reshape(n, -1)
+
+
+def _merged(parts: DataFrame, classes: int, rows: int, sets: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tables (words and pairs, ``rows`` totals) of each set, summed slice by slice."""
+
+    def run(batches):
+        for batch in batches:
+            for k, fold, blobs in zip(*(batch.column(c).to_pylist() for c in ("slice", "fold", "blobs"))):
+                first = max(k, 0) * SLICE
+                table = np.zeros((rows if k < 0 else SLICE, classes))
+                for blob in sorted(blobs):  # the same sum in any order of arrival
+                    _add(table, blob, first)
+                at = np.flatnonzero(table.any(axis=1))
+                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([k], pa.int32()), pa.array([fold], pa.int32()), pa.array([(at + first).astype("<i4").tobytes() + table[at].astype("<f4").tobytes()], pa.binary())], ["lang", "slice", "fold", "blob"])
+
+    out = [(np.zeros((UNI + BI, classes), np.float32), np.zeros((rows, classes), np.float32)) for _ in range(sets)]
+    summed = parts.groupBy("slice", "fold").agg(F.collect_list("blob").alias("blobs")).mapInArrow(run, PARTS).select("slice", "fold", "blob").toArrow()
+    for k, fold, blob in zip(*(summed.column(c).to_pylist() for c in ("slice", "fold", "blob"))):
+        _add(out[fold][k < 0], blob)
+    return out
+
+
+class Fitting:
+    """Models of labelled documents, fitted where these lie.
+
+    ``known`` has parsed documents with ``fold`` (0 or 1) and ``areas``, the
+    numbers of their subjects.  Three models are fitted side by side: 0 and 1
+    without the documents of that fold, to choose levels with, and 2 on all.
+    """
+
+    def __init__(self, known: DataFrame, subjects: int, languages: np.ndarray):
+        self.spark = known.sparkSession
+        # a task sums all its documents before it sends a table on
+        self.known = known.coalesce(self.spark.sparkContext.defaultParallelism)
+        self.subjects, self.words, self.languages = subjects, self.spark.sparkContext.broadcast(languages), languages.shape[1]
+
+    def _opener(self):
+        words, subjects = self.words, self.subjects
+
+        def open_(batch):
+            labels = np.zeros((batch.num_rows, subjects), bool)
+            areas, sizes = _flat(batch.column("areas"))
+            labels[np.repeat(np.arange(batch.num_rows), sizes), areas] = True
+            return hashed(opened(batch), words.value), labels, batch.column("fold").to_numpy()
+
+        return open_
+
+    def start(self) -> list[Models]:
+        """First models: the excess of each area, language by language."""
+        open_, languages, classes = self._opener(), self.languages, self.subjects + 1
+
+        def count(batches):
+            for batch in batches:
+                s, labels, fold = open_(batch)
+                whole = np.concatenate([labels, np.ones((len(labels), 1), bool)], axis=1)  # in the last class: all documents
+                for f in (0, 1):
+                    for lang in np.unique(s.lang):
+                        weights = whole[s.doc].astype(float) * ((s.lang == lang) & (fold[s.doc] == f))[:, None]
+                        uni, bi, totals = counted(s, weights, languages)
+                        yield from _parts(int(lang), f, np.concatenate([uni, bi]), False)
+                        yield from _parts(int(lang), f, totals, True)
+
+        parts = materialize(self.known.mapInArrow(count, PARTS), "counts")
+        exposure = [t for _, t in _merged(parts.filter("slice < 0"), classes, languages, 2)]
+        by_set = [exposure[1], exposure[0], exposure[0] + exposure[1]]
+
+        def settle(batches):
+            for batch in batches:
+                for lang, k, folds, blobs in zip(*(batch.column(c).to_pylist() for c in ("lang", "slice", "folds", "blobs"))):
+                    own = np.zeros((2, SLICE, classes))
+                    for f, blob in sorted(zip(folds, blobs)):
+                        _add(own[f], blob, k * SLICE)
+                    for n, table in enumerate((own[1], own[0], own[0] + own[1])):
+                        got = np.zeros((SLICE * (k + 1), classes), np.float32)
+                        got[SLICE * k :] = excess(table, by_set[n][lang].astype(float))
+                        yield from _parts(lang, n, got, False)
+                        if k * SLICE < UNI:
+                            totals = np.zeros((languages, classes))
+                            totals[lang] = got.sum(axis=0, dtype=float)
+                            yield from _parts(lang, n, totals, True)
+
+        whole = parts.filter("slice >= 0").groupBy("lang", "slice").agg(F.collect_list("fold").alias("folds"), F.collect_list("blob").alias("blobs"))
+        return [self._model(*x) for x in _merged(whole.mapInArrow(settle, PARTS), classes, languages)]
+
+    @staticmethod
+    def _model(table: np.ndarray, totals: np.ndarray) -> Models:
+        return Models(table[:UNI], table[UNI:], totals)
+
+    def round(self, models: list[Models], heat: float) -> list[Models]:
+        """Expectation and maximisation once over all labelled documents."""
+        open_, languages, classes = self._opener(), self.languages, self.subjects + 1
+        shared = self.spark.sparkContext.broadcast([(m.uni, m.bi, m.totals) for m in models])
+
+        def count(batches):
+            now = [Models(*x) for x in shared.value]
+            sums = [[np.zeros((UNI + BI, classes), np.float32), np.zeros((languages, classes), np.float32)] for _ in now]
+            for batch in batches:
+                s, labels, fold = open_(batch)
+                prior = np.where(np.concatenate([labels, np.ones((len(labels), 1), bool)], axis=1), 1.0, MISTAKE / classes)
+                for n, model in enumerate(now):
+                    use = fold != n
+                    own = s.take(use)
+                    if len(own.sizes):
+                        uni, bi, totals = counted(own, posteriors(model.evidence(own), own.doc, prior[use], False, heat), languages)
+                        sums[n][0][:UNI] += uni
+                        sums[n][0][UNI:] += bi
+                        sums[n][1] += totals
+            for n, (table, totals) in enumerate(sums):
+                yield from _parts(0, n, table, False)
+                yield from _parts(0, n, totals, True)
+
+        out = [self._model(*x) for x in _merged(self.known.mapInArrow(count, PARTS), classes, languages)]
+        shared.destroy()
+        return out
+
+    def levels(self, models: list[Models]) -> np.ndarray:
+        """For each subject, the posterior of ``LEAST`` from which a sentence
+        counts: the one that answers most documents as labelled, each by the
+        models of the other half.  The answers on all subjects count thrice as
+        much as its own, as a subject may have few labels."""
+        open_, subjects = self._opener(), self.subjects
+        shared = self.spark.sparkContext.broadcast([(m.uni, m.bi, m.totals) for m in models[:2]])
+
+        def count(batches):
+            now, right = [Models(*x) for x in shared.value], np.zeros((len(LEAST), subjects), np.int64)
+            for batch in batches:
+                s, labels, fold = open_(batch)
+                for f, model in enumerate(now):
+                    test = fold == f
+                    own = s.take(test)
+                    evidence = model.evidence(own)
+                    for k, least in enumerate(LEAST):
+                        right[k] += (accepted(evidence, own.doc, int(test.sum()), least) == labels[test]).sum(axis=0)
+            yield pa.record_batch([pa.array([right.ravel().tolist()], pa.list_(pa.int64()))], ["right"])
+
+        got = self.known.mapInArrow(count, "right array<bigint>").toArrow().column("right").to_pylist()
+        shared.destroy()
+        right = np.array(got, float).sum(axis=0).reshape(len(LEAST), subjects)
+        right += 3 * right.mean(axis=1, keepdims=True) - np.abs(np.array(LEAST) - 0.9)[:, None] * 1e-3
+        return np.array(LEAST)[right.argmax(axis=0)]
 
 
 def accepted(evidence: np.ndarray, doc: np.ndarray, docs: int, least) -> np.ndarray:
@@ -426,22 +566,6 @@ def accepted(evidence: np.ndarray, doc: np.ndarray, docs: int, least) -> np.ndar
     return n >= np.where(short, 1, 2)[:, None]
 
 
-def calibrated(s: Hashed, labels: np.ndarray, languages: int) -> np.ndarray:
-    """For each subject, the posterior of ``LEAST`` from which a sentence
-    counts: the one that answers most documents as labelled, each by models of
-    the other half.  The answers on all subjects count thrice as much as its
-    own, as a subject may have few labels."""
-    right = np.zeros((len(LEAST), labels.shape[1]))
-    for fold in (0, 1):
-        test = np.arange(len(labels)) % 2 == fold
-        models, own = fit_labelled(s.take(~test), labels[~test], languages), s.take(test)
-        evidence = models.evidence(own)
-        for k, least in enumerate(LEAST):
-            right[k] += (accepted(evidence, own.doc, int(test.sum()), least) == labels[test]).sum(axis=0)
-    right += 3 * right.mean(axis=1, keepdims=True) - np.abs(np.array(LEAST) - 0.9)[:, None] * 1e-3
-    return np.array(LEAST)[right.argmax(axis=0)]
-
-
 def _unique(documents: DataFrame) -> DataFrame:
     """One row for each doc_id; without a ``source`` column all are of one source."""
     source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string")
@@ -456,7 +580,7 @@ def boilerplate_lines(docs: DataFrame) -> DataFrame:
     several = docs.filter(F.size("lines") > 1)
     first, last = F.element_at("lines", 1), F.element_at("lines", -1)
     edges = several.select("source", "text_key", F.explode(F.array_distinct(F.array(first, last))).alias("key"))
-    texts = several.groupBy("source").agg(F.approx_count_distinct("text_key", 0.01).alias("texts"))
+    texts = several.groupBy("source").agg(F.countDistinct("text_key").alias("texts"))
     often = edges.groupBy("source", "key").agg(F.countDistinct("text_key").alias("n")).filter(F.col("n") >= EDGE_TEXTS)
     some = often.alias("o").join(texts.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).filter(F.col("n") >= EDGE_SHARE * F.col("texts"))
     some = materialize(some.select("key").distinct(), "edges")
@@ -502,10 +626,9 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame) ->
     """``(doc_id, subject)``: the areas of each document.
 
     Hand labels are folded and matched to ``areas``; a label "none" says that
-    a document has no area, and other unknown labels are ignored.  At most
-    ``FIT_DOCS`` labelled documents of at most ``FIT_WORDS`` words, in
-    hash order, are used for fitting; every document is classified by its
-    whole text.  Null, empty and blank texts have no area; a repeated doc_id
+    a document has no area, and other unknown labels are ignored.  All
+    labelled documents are used for fitting, and every document is classified
+    by its whole text.  Null, empty and blank texts have no area; a repeated doc_id
     counts once.  Without labels or areas the result is empty.
     """
     spark = documents.sparkSession
@@ -521,16 +644,19 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame) ->
     languages = language_words(docs)
     key = {"".join(n.casefold().split()): i for i, n in enumerate(names)}
     marked = marks.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    known = docs.filter(F.size("words") <= FIT_WORDS).join(marked, "doc_id").orderBy(F.xxhash64("doc_id")).limit(FIT_DOCS)
-    known = known.select("words", "sizes", "places", "lines", "first_out", "last_out", "keys").toArrow()
-    own = [{key[k] for k in keys if k in key} for keys in known.column("keys").to_pylist()]
-    used = np.array([bool(o) or "none" in keys for o, keys in zip(own, known.column("keys").to_pylist())], bool)
-    if not used.any():
+    numbers = F.create_map(*[F.lit(x) for pair in key.items() for x in pair])
+    areas_of = F.transform(F.filter("keys", lambda k: k.isin(list(key))), lambda k: numbers[k]).alias("areas")
+    marked = marked.filter(F.arrays_overlap("keys", F.array(*[F.lit(k) for k in [*key, "none"]]))).select("doc_id", areas_of)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
+    known = docs.join(marked, "doc_id").select("words", "sizes", "places", "lines", "first_out", "last_out", "areas", fold)
+    known = materialize(known, "labelled")
+    if known.isEmpty():
         return spark.createDataFrame([], schema)
-    mask = np.array([[i in o for i in range(len(names))] for o in own], bool)
-    training, mask = hashed(opened(known), languages).take(used), mask[used]
-    least = calibrated(training, mask, languages.shape[1])
-    models = fit_labelled(training, mask, languages.shape[1])
+    fitting = Fitting(known, len(names), languages)
+    fitted = fitting.start()
+    for heat in HEATS:
+        fitted = fitting.round(fitted, heat)
+    least, models = fitting.levels(fitted), fitted[2]
     shared = spark.sparkContext.broadcast((models.uni, models.bi, models.totals, languages, least))
 
     def run(batches):

@@ -178,3 +178,23 @@ def test_rare_languages_have_models(spark):
     n = S._Numbers()
     words = lambda x: np.array([n[w] for w in x.split()]) % S.UNI
     assert table.shape[1] == 2 and table[words("brama jest")].sum(axis=0).argmax() == 1 and table[words("gate open")].sum(axis=0).argmax() == 0
+
+
+def test_all_labelled_documents_are_fitted_on(spark):
+    rng = random.Random(8)
+
+    def text(area, sentences):
+        own = lambda: "we spoke of the {} and then the {} today".format(*rng.sample(AREAS[area], 2))
+        return " ".join((own() if i % 2 else rng.choice(PLAIN)).capitalize() + "." for i in range(sentences))
+
+    names = sorted(AREAS)
+    # of the first area only long texts are labelled
+    docs = [(i, text(names[0], 260), "en", "s", names[0]) if i % 4 == 0 else (i, text(names[i % 2 + 1], 6), "en", "s", names[i % 2 + 1]) for i in range(80)]
+    docs += [(100 + i, text(names[0], 6), "en", "s", None) for i in range(20)]
+    d = spark.createDataFrame([x[:4] for x in docs], "doc_id bigint, text string, lang string, source string")
+    areas = spark.createDataFrame([(a, "") for a in names], "subject string, description string")
+    labels = spark.createDataFrame([(x[0], x[4]) for x in docs if x[4]], "doc_id bigint, subject string")
+    got = {(r["doc_id"], r["subject"]) for r in S.subject_areas(d, areas, labels).collect()}
+    assert sum((100 + i, names[0]) in got for i in range(20)) >= 18
+    # the same whatever the number of tasks
+    assert {(r["doc_id"], r["subject"]) for r in S.subject_areas(d.repartition(3), areas, labels).collect()} == got
