@@ -42,6 +42,9 @@ from gallerist.storage import materialize
 UNI, BI = 1 << 16, 1 << 18
 #: Rows of the tables of words and pairs that are summed by one task at once.
 SLICE = 1 << 14
+#: Bytes of word tables (pairs take four times as much) that a task keeps for
+#: the languages before it sends them on.
+HELD_BYTES = 48 << 20
 #: Interpolation: shares of class and all text for words; of the class's pairs,
 #: all pairs and words for pairs.
 WORD, PAIR = (0.5, 0.5), (0.1, 0.1, 0.8)
@@ -461,15 +464,28 @@ class Fitting:
         open_, languages, classes = self._opener(), self.languages, self.subjects + 1
 
         def count(batches):
+            held: dict = {}
             for batch in batches:
                 s, labels, fold = open_(batch)
                 whole = np.concatenate([labels, np.ones((len(labels), 1), bool)], axis=1)  # in the last class: all documents
                 for f in (0, 1):
-                    for lang in np.unique(s.lang):
+                    for lang in np.unique(s.lang).tolist():
                         weights = whole[s.doc].astype(float) * ((s.lang == lang) & (fold[s.doc] == f))[:, None]
                         uni, bi, totals = counted(s, weights, languages)
-                        yield from _parts(int(lang), f, np.concatenate([uni, bi]), False)
-                        yield from _parts(int(lang), f, totals, True)
+                        if (lang, f) in held:
+                            held[lang, f][0] += np.concatenate([uni, bi])
+                            held[lang, f][1] += totals
+                        else:
+                            held[lang, f] = [np.concatenate([uni, bi]), totals]
+                        if len(held) * uni.nbytes > HELD_BYTES:
+                            yield from emptied(held)
+            yield from emptied(held)
+
+        def emptied(held):
+            for (lang, f), (table, totals) in held.items():
+                yield from _parts(lang, f, table, False)
+                yield from _parts(lang, f, totals, True)
+            held.clear()
 
         parts = materialize(self.known.mapInArrow(count, PARTS), "counts")
         exposure = [t for _, t in _merged(parts.filter("slice < 0"), classes, languages, 2)]
