@@ -296,3 +296,23 @@ def test_copies_count_in_degrees_and_medoids(spark, monkeypatch, cap):
     monkeypatch.setattr(C, "COPIES", 3)
     got = rows_of(C.clusters(frame(spark, zip(ids, map(pack, hot))), limit=0.14, at=0.14, recall=0.9999, dim=DIM, group_cap=cap))
     assert got == split_by_hand(ids, exact(hot), 0.14)
+
+
+def test_bands_in_rounds(spark, monkeypatch):
+    """The same clusters however many bands are shuffled at once, and less on disk."""
+    rng = np.random.default_rng(12)
+    bits = rng.integers(0, 2, (40, C.BITS)).astype(bool)
+    assert (C.min_hash_keys(bits, 3, 9)[:, 4:] == C.min_hash_keys(bits, 3, 9, 4)).all()
+    heads = rng.standard_normal((60, 128))
+    rows = [(f"{i:03d}", (heads[i % 60] + 0.3 * rng.standard_normal(128)).astype("<f4").tobytes()) for i in range(240)]
+    frame = spark.createDataFrame(rows, "id string, vector binary")
+    monkeypatch.setattr(C, "BUCKET_ROWS", 16)  # several values a band, so several rounds
+    r, bands = C.banding(240, 0.99, 0.10)
+    assert bands > C.ROUND_BANDS / 4
+    asked = []
+    monkeypatch.setattr(C, "_sign_buckets", lambda d, r, until, hot, first=0, f=C._sign_buckets: asked.append(until - first) or f(d, r, until, hot, first))
+    want = sorted(map(tuple, C.clusters(frame).collect()))
+    monkeypatch.setattr(C, "ROUND_BANDS", 4)
+    asked.clear()
+    assert want and sorted(map(tuple, C.clusters(frame).collect())) == want
+    assert sum(asked) == bands and max(asked) <= 4 and len(asked) > 1
