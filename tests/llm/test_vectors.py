@@ -316,3 +316,16 @@ def test_bands_in_rounds(spark, monkeypatch):
     asked.clear()
     assert want and sorted(map(tuple, C.clusters(frame).collect())) == want
     assert sum(asked) == bands and max(asked) <= 4 and len(asked) > 1
+
+def test_vectors_are_read_where_they_lie():
+    import pyarrow as pa
+
+    from gallerist.llm.vectors import raw_matrix
+
+    want = np.random.default_rng(3).standard_normal((50, DIM)).astype("<f4")
+    rows = [x.tobytes() for x in want]
+    column = pa.array(rows, pa.large_binary())
+    at, raw = raw_matrix(column, DIM)
+    assert (raw == want).all() and len(at) == 50 and np.shares_memory(raw, np.frombuffer(column.buffers()[2], np.uint8))
+    at, raw = raw_matrix(pa.array([b"abc", None, *rows[:9], b"", None, *rows[9:]], pa.binary())[1:], DIM)
+    assert (raw == want).all() and at.tolist() == [*range(1, 10), *range(12, 53)]
